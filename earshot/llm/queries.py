@@ -40,7 +40,7 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_day_percentiles(spark: SparkSession, d: str) -> DataFrame:
     days = quantiles.by_day(table(spark, d, "predictions"), "language", "scored_at", ["wer", "cer"])
-    return quantiles.percentiles(days, ["metric", "grp", "day"]).withColumnRenamed("grp", "language")
+    return quantiles.percentiles(days, ["metric", "grp", "day"]).withColumnRenamed("grp", "language").withColumn("day", F.col("day").cast("string"))
 
 
 def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:

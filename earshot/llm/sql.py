@@ -15,7 +15,7 @@ SQL = {
     "p3_day_percentiles": f"""
 WITH {_SCORES},
 ranked AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY metric, language, day) AS n FROM valid WINDOW w AS (PARTITION BY metric, language, day ORDER BY x))
-SELECT metric, language, day, percentile, x AS value, n, CAST(0 AS DOUBLE) AS rank_error
+SELECT metric, language, CAST(day AS VARCHAR) AS day, percentile, x AS value, n, CAST(0 AS DOUBLE) AS rank_error
 FROM ranked JOIN shares ON rn = greatest(1, CAST(ceil(percentile * n) AS BIGINT))""",
     "p3_percentiles": f"""
 WITH {_SCORES},

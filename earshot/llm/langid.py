@@ -38,7 +38,7 @@ DOUBT = 4.0
 MEMO = 100_000
 MOST_LANGUAGES = 62
 _words = re.compile(r"[^\W\d_]+(?:[^\W\d_]|[̀-ͯ]|[ऀ-ःऺ-ॏ̀-ͯٔัิ-ฺ็-๎゙‌‍'’])*")
-_unspaced = re.compile(r"[฀-๿]+|[぀-ヿ㐀-鿿豈-﫿]+")
+_unspaced = re.compile(r"[฀-๿]+|[぀-ヿ㐀-鿿豈-﫿]+")
 _tag = re.compile(r"\[[^\]]*\]|<[^>]*>|\{[^}]*\}")
 
 

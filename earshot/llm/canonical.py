@@ -230,7 +230,7 @@ def canonical(text: str | None, vocabulary: Vocabulary | None = None) -> str | N
 _worker: dict = {}
 
 
-def _vocabulary(words: Iterable[tuple[str, int]] | None, name: str) -> Vocabulary | None:
+def worker_vocabulary(words: Iterable[tuple[str, int]] | None, name: str) -> Vocabulary | None:
     if words is None:
         return None
     if _worker.get("name") != name:
@@ -244,11 +244,12 @@ def vocabulary_words(texts: DataFrame, text: str, share: float = 1 / 20_000) ->
     At most 1 / ``share`` words can do so, which bounds what is sent to the driver and back. All rows
     are counted. Only words of one of the three scripts with look-alikes, and unmixed, are kept.
     """
-    word = F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}'’-]+")).alias("word")
-    counted = texts.select(word).filter(F.col("word").rlike(r"^(?:[\p{IsLatin}\p{M}'’-]+|[\p{IsCyrillic}\p{M}-]+|[\p{IsGreek}\p{M}-]+)$")).groupBy("word").count()
+    word = F.explode(F.split(F.lower(F.col(text)), "[ \u00a0.,!?;:]+")).alias("word")
+    counted = texts.select(word).groupBy("word").count()
     total = counted.agg(F.sum("count")).first()[0] or 0
     least = max(2, int(total * share))
-    return [(r["word"], r["count"]) for r in counted.filter(F.col("count") >= least).collect()]
+    one_script = F.col("word").rlike(r"^(?:[\p{IsLatin}\p{M}'’-]+|[\p{IsCyrillic}\p{M}-]+|[\p{IsGreek}\p{M}-]+)$")
+    return [(r["word"], r["count"]) for r in counted.filter((F.col("count") >= least) & one_script).collect()]
 
 
 def is_safe(text: Column) -> Column:
@@ -263,7 +264,7 @@ def canonical_column(text: Column, words: list[tuple[str, int]] | None = None) -
 
     @F.arrow_udf("string")
     def convert(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = _vocabulary(None if sent is None else sent.value, name)
+        vocabulary = worker_vocabulary(None if sent is None else sent.value, name)
         for texts in batches:
             yield pa.array([canonical(t, vocabulary) for t in texts.to_pylist()], pa.string())
 
@@ -293,7 +294,7 @@ def changed_values(tables: dict[str, tuple[DataFrame, str, list[str]]], words: l
     label = str(id(sent))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(None if sent is None else sent.value, label)
+        vocabulary = worker_vocabulary(None if sent is None else sent.value, label)
         seen: dict[str, str] = {}
         for batch in batches:
             forms = []

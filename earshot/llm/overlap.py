@@ -5,9 +5,10 @@ punctuation), and every comparison is a join on hashes of that form or of parts
 
 * the same: one hash of all letters and digits;
 * almost the same, spaced scripts: with at most D changed words of n, two texts share all but D of
-  their words, so their D + 3 rarest words share three; hashes of triples of these are joined;
-* almost the same, scripts without spaces: of 2 D + 1 equal segments of the training text at least one
-  survives D changes (an exchange of neighbours can spoil two), and lies near its place.
+  their words, so their D + 2 rarest words share two; hashes of pairs of these are joined;
+* almost the same, scripts without spaces: of the training text's pieces of three or four characters
+  at most 2 D are spoilt by D changes (an exchange of neighbours can spoil two); the others lie near
+  their places in the other text. Hashes of pieces with their places are joined, and met pieces counted.
 
 Joined texts are then compared exactly. Copies of a text are one text until the end.
 """
@@ -15,12 +16,14 @@ Joined texts are then compared exactly. Copies of a text are one text until the
 from __future__ import annotations
 
 import itertools
+import math
+import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +34,13 @@ from earshot.runtime import materialize
 #: Spellings of the splits.
 SPLITS = {"training": "train", "validation": "dev", "valid": "dev", "val": "dev", "eval": "test"}
 #: One changed unit in TEN; least words, and characters where words are not spaced; words in a key.
-TEN, LEAST_WORDS, LEAST_CHARS, SHARED = 10, 4, 10, 3
+TEN, LEAST_WORDS, LEAST_CHARS, SHARED = 10, 4, 10, 2
 #: Words that make up at least this share of all words come last in the order of rarity.
 FREQUENT = 1 / 5000
 #: Two groups of copies are joined row by row up to this many pairs; beyond, each row is paired with the other group's first.
 PAIRS = 10_000
-_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Rows of candidates or links, at most, that are broadcast; their number is counted first.
+FEW = 200_000
 
 
 def split_name(split: Column) -> Column:
@@ -45,11 +49,20 @@ def split_name(split: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for pair in SPLITS.items() for x in pair))[name], name)
 
 
-def comparable(text: Column) -> Column:
-    """Words of ``text`` that count, in lower case, between single blanks."""
-    plain = F.regexp_replace(text, r"\[[^\]]*\]|<[^>]*>|\{[^}]*\}", " ")
-    plain = F.regexp_replace(F.lower(plain), r"[\p{Cf}'’ʼ]+", "")
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{M}\p{N}]+", " "))
+_tag = re.compile(r"\[[^\]]*\]|<[^>]*>|\{[^}]*\}")
+_quiet = re.compile("['’ʼ]+")
+_gaps, _gaps_marks = re.compile(r"[\W_]+"), regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+_format = regex.compile(r"\p{Cf}+")
+_marked = re.compile("[\u0300-\U0010ffff]")
+_unspaced = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+
+
+def comparable(text: str) -> str:
+    """The words of a consistent text that count, in lower case, between single blanks: no tags, no punctuation."""
+    text = _quiet.sub("", _tag.sub(" ", text).lower())
+    if _marked.search(text):
+        return _gaps_marks.sub(" ", _format.sub("", text)).strip()
+    return _gaps.sub(" ", text.replace("\u00ad", "")).strip()
 
 
 def reach(n: int) -> int:
@@ -89,44 +102,52 @@ def distance(a: list, b: list, limit: int) -> int:
     return min(row[m], far)
 
 
-@lru_cache(maxsize=4096)
-def segments(n: int, pieces: int) -> tuple[tuple[int, int], ...]:
-    return tuple((n * i // pieces, n * (i + 1) // pieces) for i in range(pieces))
+def piece(n: int) -> int:
+    """Characters in a piece of a text of ``n``; so many that more than 2 D pieces fit."""
+    return 3 if n < 40 else 4
+
+
+def least_met(n: int) -> int:
+    """Pieces that D changes leave whole, at least."""
+    return n // piece(n) - 2 * reach(n)
+
+
+def size_class(n: int) -> int:
+    """Texts within reach of each other are in the same class or in neighbouring ones."""
+    return int(math.log(n) / math.log(1.25))
 
 
 def word_keys(words: list[str], order: dict[str, int], sides: int = 0) -> Iterator[int]:
-    """Hashes of all triples of the D + 3 rarest words; a repeated word counts as several."""
+    """Hashes of all pairs of the D + 2 rarest words; a repeated word counts as several."""
     seen: Counter = Counter()
     ranked = []
     for w in words:
         seen[w] += 1
         ranked.append((order.get(w, -1), xxhash.xxh64_intdigest(f"{w}\t{seen[w]}")))
     ranked.sort()
-    for three in itertools.combinations([h for _, h in ranked[: reach(len(words)) + SHARED]], SHARED):
-        yield xxhash.xxh64_intdigest(np.array(sorted(three), dtype=np.uint64).tobytes())
+    for some in itertools.combinations([h for _, h in ranked[: reach(len(words)) + SHARED]], SHARED):
+        yield xxhash.xxh64_intdigest(min(some).to_bytes(8) + max(some).to_bytes(8))
 
 
-def train_segments(text: str) -> Iterator[int]:
+def train_pieces(text: str) -> Iterator[int]:
     n = len(text)
-    for i, (a, b) in enumerate(segments(n, 2 * reach(n) + 1)):
-        yield xxhash.xxh64_intdigest(f"{n} {i} {text[a:b]}")
+    k, c = piece(n), size_class(n)
+    for i in range(n // k):
+        yield xxhash.xxh64_intdigest(f"{c} {k} {i} {text[i * k : i * k + k]}")
 
 
-def probe_segments(text: str) -> Iterator[int]:
-    """Keys of every segment that a training text within reach may share with ``text``."""
+def probe_pieces(text: str) -> Iterator[int]:
+    """Keys of every piece that a training text within reach may share with ``text``."""
     m = len(text)
-    for n in range(max(LEAST_CHARS, m - reach(m)), m + reach(m) + 1):
-        most = max(n, m) // TEN
-        gap = m - n
-        if abs(gap) > most:
-            continue
-        for i, (a, b) in enumerate(segments(n, 2 * reach(n) + 1)):
-            seen = set()
-            for shift in range(-((most - gap) // 2), (most + gap) // 2 + 1):
-                part = text[a + shift : b + shift] if a + shift >= 0 else ""
-                if len(part) == b - a and part not in seen:
-                    seen.add(part)
-                    yield xxhash.xxh64_intdigest(f"{n} {i} {part}")
+    low, high = max(9, m - reach(m)), m + reach(m)
+    shapes: dict[tuple[int, int], int] = {}
+    for n in range(low, high + 1):
+        shapes[(size_class(n), piece(n))] = n
+    shift = reach(m)
+    for (c, k), n in shapes.items():
+        for i in range(n // k):
+            for part in {text[at : at + k] for at in range(max(0, i * k - shift), min(m - k, i * k + shift) + 1)}:
+                yield xxhash.xxh64_intdigest(f"{c} {k} {i} {part}")
 
 
 def prepare(index: DataFrame, key: str = "audio_id", text: str = "transcript", split: str = "split", language: str = "language", extra: tuple[str, ...] = ("source",), words: list[tuple[str, int]] | None = None) -> DataFrame:
@@ -135,19 +156,36 @@ def prepare(index: DataFrame, key: str = "audio_id", text: str = "transcript", s
     Null, blank and tag-only texts, texts of fewer than four words (ten characters where words are
     not spaced), null keys and rows of other splits than train, dev and test are no records here.
     """
-    rows = index.select(F.col(key).cast("string").alias("key"), split_name(F.col(split)).alias("split"), F.col(language).alias("language"), *(F.col(x).alias(x) for x in extra), canonical.canonical_column(F.col(text).cast("string"), words).alias("text"))
-    rows = rows.filter(F.col("text").isNotNull() & F.col("key").isNotNull() & F.col("split").isin("train", "dev", "test")).withColumn("text", comparable(F.col("text")))
-    rows = rows.withColumn("letters", F.translate("text", " ", ""))
-    rows = rows.withColumn("unspaced", 2 * F.length(F.regexp_replace("letters", f"[^{_UNSPACED}]+", "")) > F.length("letters"))
-    rows = rows.filter((F.col("unspaced") & (F.length("letters") >= LEAST_CHARS)) | (~F.col("unspaced") & (F.size(F.split("text", " ")) >= LEAST_WORDS)))
-    # The letters alone are the class of a text: exact copies may differ in where blanks stand.
-    rows = rows.withColumn("class", F.xxhash64("letters", F.lit(7))).drop("letters")
-    return materialize(rows, "transcripts")
+    sent = index.sparkSession.sparkContext.broadcast(words)
+    name = str(id(sent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = canonical.worker_vocabulary(sent.value, name)
+        for batch in batches:
+            texts, kinds, classes, keep = [], [], [], []
+            for value in batch.column(0).to_pylist():
+                text = comparable(canonical.canonical(value, vocabulary))
+                letters = text.replace(" ", "")
+                unspaced = bool(letters) and not letters.isascii() and 2 * len(_unspaced.findall(letters)) > len(letters)
+                keep.append(len(letters) >= LEAST_CHARS if unspaced else text.count(" ") >= LEAST_WORDS - 1)
+                texts.append(text)
+                kinds.append(unspaced)
+                # The letters alone are the class of a text: exact copies may differ in where blanks stand.
+                classes.append(xxhash.xxh64_intdigest(letters))
+            ids = pa.array(np.array(classes, dtype=np.uint64).view(np.int64))
+            out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array(kinds, pa.bool_()), ids], [*names, "text", "unspaced", "class"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    names = ["key", "split", "language", *extra]
+    rows = index.select(F.col(text).cast("string").alias("value"), F.col(key).cast("string").alias("key"), split_name(F.col(split)).alias("split"), F.col(language).cast("string").alias("language"), *(F.col(x).cast("string").alias(x) for x in extra))
+    rows = rows.filter(F.col("value").isNotNull() & F.col("key").isNotNull() & F.col("split").isin("train", "dev", "test"))
+    schema = ", ".join(f"{n} string" for n in names) + ", text string, unspaced boolean, class bigint"
+    return materialize(rows.mapInArrow(run, schema), "transcripts")
 
 
 def _texts(rows: DataFrame) -> DataFrame:
-    """One row for each class: a text, and on which sides it occurs."""
-    return rows.groupBy("class").agg(F.min("text").alias("text"), F.first("unspaced").alias("unspaced"), F.max(F.expr("split = 'train'")).alias("train"), F.max(F.expr("split <> 'train'")).alias("held"))
+    """Each text once, and on which sides it occurs; texts of a class differ in their blanks only."""
+    return rows.groupBy("class", "text", "unspaced").agg(F.max(F.expr("split = 'train'")).alias("train"), F.max(F.expr("split <> 'train'")).alias("held"))
 
 
 def _frequent(texts: DataFrame) -> list[tuple[str, int]]:
@@ -168,12 +206,13 @@ def near_classes(texts: DataFrame) -> DataFrame:
                 classes, hashes = [], []
                 for c, text, unspaced in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                     if unspaced:
-                        found = train_segments(text.replace(" ", "")) if side == "train" else probe_segments(text.replace(" ", ""))
+                        found = train_pieces(text.replace(" ", "")) if side == "train" else probe_pieces(text.replace(" ", ""))
                     else:
                         found = word_keys(text.split(" "), order.value)
                     before = len(hashes)
                     hashes.extend(found)
-                    classes.append((c, len(hashes) - before))
+                    n = len(text.replace(" ", "")) if unspaced else text.count(" ") + 1
+                    classes.append((c, len(hashes) - before, n, least_met(n) if unspaced else 1))
                     if len(hashes) > 200_000:
                         yield _batch(classes, hashes)
                         classes, hashes = [], []
@@ -183,16 +222,24 @@ def near_classes(texts: DataFrame) -> DataFrame:
 
     # One change needs ten units on one side: shorter texts only match exactly.
     long = texts.filter(F.when(F.col("unspaced"), F.length("text") >= 9).otherwise(F.size(F.split("text", " ")) >= 9)).select("class", "text", "unspaced", "train", "held")
-    parts = {side: long.filter(side).select("class", "text", "unspaced").mapInArrow(keys(side), f"class bigint, {side}_key bigint") for side in ("train", "held")}
-    pairs = parts["train"].withColumnRenamed("class", "train_class").join(parts["held"].withColumnRenamed("class", "held_class"), F.col("train_key") == F.col("held_key")).filter("train_class <> held_class").select("train_class", "held_class").distinct()
+    parts = {side: long.filter(side).select("class", "text", "unspaced").mapInArrow(keys(side), f"{side}_class bigint, key bigint, {side}_n int, {side}_met int") for side in ("train", "held")}
+    near = (F.abs(F.col("train_n") - F.col("held_n")) * TEN <= F.greatest("train_n", "held_n")) & (F.col("train_class") != F.col("held_class"))
+    joined = parts["train"].join(parts["held"], "key").filter(near)
+    pairs = joined.groupBy("train_class", "held_class").agg(F.count("*").alias("met"), F.max("train_met").alias("least")).filter("met >= least").select("train_class", "held_class")
+    pairs = materialize(pairs, "candidates")
+    # Few candidates, by their count, meet the texts by broadcast; else all are shuffled by class.
+    hint = F.broadcast if pairs.count() <= FEW else lambda x: x
     texts_of = long.select("class", "text", "unspaced")
-    pairs = pairs.join(texts_of.select(F.col("class").alias("train_class"), F.col("text").alias("a"), "unspaced"), "train_class").join(texts_of.select(F.col("class").alias("held_class"), F.col("text").alias("b")), "held_class")
-    return pairs.mapInArrow(_verify, "train_class bigint, held_class bigint")
+    a = texts_of.select(F.col("class").alias("train_class"), F.col("text").alias("a"), "unspaced").join(hint(pairs), "train_class")
+    b = texts_of.select(F.col("class").alias("held_class"), F.col("text").alias("b")).join(hint(pairs), "held_class")
+    pairs = a.join(b, ["train_class", "held_class"])
+    return pairs.mapInArrow(_verify, "train_class bigint, held_class bigint").distinct()
 
 
 def _batch(classes: list, hashes: list) -> pa.RecordBatch:
-    ids = np.repeat(np.array([c for c, _ in classes], dtype=np.int64), np.array([n for _, n in classes], dtype=np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))], ["class", "key"])
+    times = np.array([n for _, n, _, _ in classes], dtype=np.int64)
+    spread = lambda i, kind: pa.array(np.repeat(np.array([c[i] for c in classes], dtype=kind), times))
+    return pa.RecordBatch.from_arrays([spread(0, np.int64), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), spread(2, np.int32), spread(3, np.int32)], ["class", "key", "n", "met"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +256,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(rows: DataFrame) -> DataFrame:
     """``train_class``, ``held_class``, ``kind`` ('exact' or 'near') of all classes with an overlap."""
     texts = materialize(_texts(rows), "classes")
-    exact = texts.filter("train and held").select(F.col("class").alias("train_class"), F.col("class").alias("held_class"), F.lit("exact").alias("kind"))
+    exact = texts.groupBy("class").agg(F.max("train").alias("train"), F.max("held").alias("held")).filter("train and held").select(F.col("class").alias("train_class"), F.col("class").alias("held_class"), F.lit("exact").alias("kind"))
     return exact.unionByName(near_classes(texts).withColumn("kind", F.lit("near")))
 
 
@@ -222,8 +269,11 @@ def overlaps(index: DataFrame, words: list[tuple[str, int]] | None = None, **col
     same link don't. A row delivered twice counts once. No duplicates; empty tables give no rows.
     """
     rows = prepare(index, words=words, **columns)
-    found = links(rows)
-    members = rows.select("key", "class", "language", F.expr("split = 'train'").alias("train")).distinct()
+    found = materialize(links(rows), "links")
+    linked = found.select(F.col("train_class").alias("class")).union(found.select("held_class")).distinct()
+    linked = F.broadcast(linked) if found.count() <= FEW else linked
+    members = rows.join(linked, "class", "left_semi").select("key", "class", "language", F.expr("split = 'train'").alias("train")).distinct()
+    members = materialize(members, "members")
     groups = members.groupBy("class", "language", "train").agg(F.count("*").alias("n"), F.min("key").alias("first"))
     side = lambda of, name, train: of.filter(F.col("train") if train else ~F.col("train")).select(F.col("class").alias(f"{name}_class"), F.col("language").alias(f"{name}_language"), *(F.col(c).alias(f"{name}_{c}") for c in of.columns if c in ("n", "first", "key")))
     fits = F.col("train_language").isNull() | F.col("held_language").isNull() | (F.col("train_language") == F.col("held_language"))

@@ -34,8 +34,8 @@ SLOTS, SAMPLES, FOLDS = 1 << 19, 2000, 5
 SWITCH, RUN = 9.0, 4
 #: A label is taken as wrong when its language is less likely than the best by this log-odds, at least.
 DOUBT = 4.0
-#: Words remembered by a worker.
-MEMO = 100_000
+#: Words remembered by a worker, and words that are looked up together.
+MEMO, BLOCK = 150_000, 20_000
 MOST_LANGUAGES = 62
 _words = re.compile(r"[^\W\d_]+(?:[^\W\d_]|[̀-ͯ]|[ऀ-ःऺ-ॏ̀-ͯٔัิ-ฺ็-๎゙‌‍'’])*")
 _unspaced = re.compile(r"[฀-๿]+|[぀-ヿ㐀-鿿豈-﫿]+")
@@ -176,61 +176,80 @@ class Reader:
 
     def __init__(self, filters: Filters):
         self.filters = filters
-        self.known: dict[str, np.ndarray] = {}
-
-    def scores(self, words: list[tuple[int, int, str]]) -> np.ndarray:
-        known = self.known
-        times: dict[str, int] = {}
-        rows = []
-        for _, _, w in words:
-            times[w] = times.get(w, 0) + 1
-            rows.append(known[w] if times[w] < 3 else known[w] * AGAIN)
-        return np.array(rows)
-
-    def learn(self, words: set[str]) -> None:
-        """Scores words that aren't remembered yet, together."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > MEMO:
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((MEMO + BLOCK, len(filters.languages)))
+
+    def places(self, words: list[str]) -> list[int]:
+        """Rows of the table for the words of a block of texts; new words are scored together."""
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if len(self.known) + len(new) > len(self.table):
             self.known.clear()
-            new = list(words)
+            new = list(dict.fromkeys(words))
+            if len(new) > len(self.table):  # one text of very many words
+                self.table = np.zeros((len(new), self.table.shape[1]))
         for at in range(0, len(new), 2000):
-            self.known.update(zip(new[at : at + 2000], self.filters.score_many(new[at : at + 2000]), strict=True))
+            part = new[at : at + 2000]
+            start = len(self.known)
+            self.table[start : start + len(part)] = self.filters.score_many(part)
+            self.known.update(zip(part, range(start, start + len(part)), strict=True))
+        return [self.known[w] for w in words]
 
     def read(self, texts: list[str | None]) -> list[tuple[list[tuple[int, int, int, float]], np.ndarray | None]]:
-        """``parts`` of each text, a bounded number of them at a time."""
-        out = []
-        for at in range(0, len(texts), 500):
-            ready = []
-            for text in texts[at : at + 500]:
-                clean = canonical(text) if text else ""
-                ready.append((text, clean, units(_tag.sub(lambda m: " " * len(m[0]), clean)) if clean else []))
-            self.learn({w for _, _, words in ready for _, _, w in words})
-            out += [self.parts(*x) for x in ready]
+        """For each text its parts (start, end, language, confidence) and the log-odds of the whole.
+
+        Texts go in blocks. Sums over their words tell the language of a text in one language; only
+        where words speak for others by more than a change costs, the best path is looked for.
+        """
+        out: list = []
+        block: list = []
+        size = 0
+        for text in texts:
+            clean = canonical(text) if text else ""
+            marked = _tag.sub(lambda m: " " * len(m[0]), clean) if clean and ("[" in clean or "<" in clean or "{" in clean) else clean
+            block.append((text, clean, units(marked) if clean else []))
+            size += len(block[-1][2])
+            if size >= BLOCK // 2:
+                out += self._block(block)
+                block, size = [], 0
+        return out + self._block(block)
+
+    def _block(self, block: list) -> list:
+        out: list = [([], None)] * len(block)
+        full = [i for i, x in enumerate(block) if x[2]]
+        if not full:
+            return out
+        words, weights, starts = [], [], []
+        for i in full:
+            starts.append(len(words))
+            times: dict[str, int] = {}
+            for _, _, w in block[i][2]:
+                n = times[w] = times.get(w, 0) + 1
+                words.append(w)
+                weights.append(1.0 if n < 3 else AGAIN)
+        scores = self.table[self.places(words)] * np.array(weights)[:, None]
+        edges = np.array(starts)
+        totals = np.add.reduceat(scores, edges, axis=0)
+        best = totals.argmax(axis=1)
+        own = np.repeat(best, np.diff([*starts, len(words)]))
+        other = np.maximum(scores.max(axis=1) - scores[np.arange(len(own)), own], 0)
+        doubt = np.add.reduceat(other, edges)
+        sure = 1 / np.exp(np.minimum(totals - totals[np.arange(len(best)), best][:, None], 50)).sum(axis=1)
+        for k, i in enumerate(full):
+            text, clean, found = block[i]
+            if doubt[k] <= SWITCH:
+                out[i] = ([(0, len(text), int(best[k]), float(sure[k]))], totals[k])
+            else:
+                out[i] = (self._parts(text, clean, found, scores[starts[k] : starts[k] + len(found)], int(best[k])), totals[k])
         return out
 
-    def parts(self, text: str | None, clean: str, words: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int, int, float]], np.ndarray | None]:
-        """Parts (start, end, language, confidence) in order, and the log-odds of the whole text."""
+    def _parts(self, text: str, clean: str, words: list[tuple[int, int, str]], scores: np.ndarray, best: int) -> list[tuple[int, int, int, float]]:
         same = clean == text
-        if not words:
-            return [], None
-        scores = self.scores(words)
-        total = scores.sum(axis=0)
-        best = int(total.argmax())
         sums = np.cumsum(scores - scores[:, best : best + 1], axis=0)
         runs = self._path(scores) if self._changes(sums) else [(0, len(words), best)]
-        out = []
-        for a, b, language in runs:
-            odds = scores[a:b].sum(axis=0)
-            out.append((words[a][0] if same else 0, words[b - 1][1] if same else 0, language, _confidence(odds, language)))
-        if same:
-            out[0] = (0, *out[0][1:])
-            for i in range(1, len(out)):
-                out[i - 1] = (out[i - 1][0], out[i][0], *out[i - 1][2:])
-            out[-1] = (out[-1][0], len(text), *out[-1][2:])
-        else:  # places in the given text are only known in proportion
-            cuts = [round(len(text) * words[a][0] / max(1, len(clean))) for a, _, _ in runs[1:]]
-            out = [(s, e, *x[2:]) for s, e, x in zip([0, *cuts], [*cuts, len(text)], out, strict=True)]
-        return out, total
+        # Where the text had to be changed first, places in it are only known in proportion.
+        scale = 1.0 if same else len(text) / max(1, len(clean))
+        cuts = [0, *(round(words[a][0] * scale) for a, _, _ in runs[1:]), len(text)]
+        return [(s, e, language, _confidence(scores[a:b].sum(axis=0), language)) for s, e, (a, b, language) in zip(cuts, cuts[1:], runs, strict=False)]
 
     @staticmethod
     def _changes(sums: np.ndarray) -> bool:

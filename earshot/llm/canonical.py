@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,14 @@ SAFE = "|".join(f"[{_NEUTRAL}{letters}]*" for letters in ("A-Za-zÀ-ɏ", "Ѐ-ѿ"
 _safe = re.compile(SAFE).fullmatch
 
 
+#: What `ignorable` and `plain` may change, as classes that are searched for first; supersets are harmless.
+_any_ignorable = regex.compile("[\\p{Cf}\\p{Cc}\u034f\u115f\u1160\u3164\uffa0\u17b4\u17b5\u180b-\u180e\ufe00-\ufe0f\U000e0100-\U000e01ef]").search
+_any_plain = re.compile("[\u00a0\u1680\u2000-\u200a\u2010\u2011\u202f\u205f\u2212\u2100-\u214f\u2f00-\u2fdf\u3000\u3130-\u318f\ufb00-\ufeff\uff00-\uffef\U0001d400-\U0001eeff\U0001fbf0-\U0001fbf9]").search
+_latin, _other = re.compile("[A-Za-z\u00c0-\u024f\u0250-\u02af\u1e00-\u1eff\u2c60-\u2c7f\ua720-\ua7ff]").search, re.compile("[\u0370-\u052f\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]").search
+
+_greek = re.compile("[\u0370-\u03ff\u1f00-\u1fff]").search
+
+
 @lru_cache(maxsize=1 << 16)
 def script(ch: str) -> str:
     """The script of a letter by its name; '' for other characters."""
@@ -219,10 +228,15 @@ def canonical(text: str | None, vocabulary: Vocabulary | None = None) -> str | N
     if text is None or _safe(text):
         return text
     new = U.normalize("NFC", text)
-    if any(map(ignorable, new)):
-        new = "".join(c for i, c in enumerate(new) if not ignorable(c) or (c in "‌‍" and _needed(new, i)))
-    new = U.normalize("NFC", "".join(map(plain, new)))
-    return U.normalize("NFC", _letters(new, vocabulary))
+    if _any_ignorable(new):
+        new = "".join(c for i, c in enumerate(new) if not ignorable(c) or (c in "\u200c\u200d" and _needed(new, i)))
+        new = U.normalize("NFC", new)
+    if _any_plain(new):
+        new = U.normalize("NFC", "".join(map(plain, new)))
+    # Only Latin, Cyrillic and Greek letters look alike; a text of one of them has nothing to decide.
+    if _other(new) and (_latin(new) or _greek(new)):
+        new = U.normalize("NFC", _letters(new, vocabulary))
+    return new
 
 
 # --- Spark ---------------------------------------------------------------------------------------
@@ -239,16 +253,16 @@ def worker_vocabulary(words: Iterable[tuple[str, int]] | None, name: str) -> Voc
 
 
 def vocabulary_words(texts: DataFrame, text: str, share: float = 1 / 20_000) -> list[tuple[str, int]]:
-    """The words, in lower case, that make up at least ``share`` of all words of ``text``.
+    """The words, in lower case and without apostrophes, that make up at least ``share`` of all words of ``text``.
 
     At most 1 / ``share`` words can do so, which bounds what is sent to the driver and back. All rows
-    are counted. Only words of one of the three scripts with look-alikes, and unmixed, are kept.
+    are counted. Words that mix scripts with look-alikes are no spellings and are left out.
     """
-    word = F.explode(F.split(F.lower(F.col(text)), "[ \u00a0.,!?;:]+")).alias("word")
-    counted = texts.select(word).groupBy("word").count()
+    word = F.explode(F.split(F.translate(F.lower(F.col(text)), "'’ʼ", ""), r"[^\p{L}\p{M}\p{N}]+")).alias("word")
+    counted = texts.select(word).filter("word <> ''").groupBy("word").count()
     total = counted.agg(F.sum("count")).first()[0] or 0
     least = max(2, int(total * share))
-    one_script = F.col("word").rlike(r"^(?:[\p{IsLatin}\p{M}'’-]+|[\p{IsCyrillic}\p{M}-]+|[\p{IsGreek}\p{M}-]+)$")
+    one_script = F.col("word").rlike(r"^(?:[\p{IsLatin}\p{M}'’-]+|[\p{IsCyrillic}\p{M}-]+|[\p{IsGreek}\p{M}-]+|[^\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]+)$")
     return [(r["word"], r["count"]) for r in counted.filter((F.col("count") >= least) & one_script).collect()]
 
 

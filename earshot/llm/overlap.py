@@ -36,7 +36,7 @@ SPLITS = {"training": "train", "validation": "dev", "valid": "dev", "val": "dev"
 #: One changed unit in TEN; least words, and characters where words are not spaced; words in a key.
 TEN, LEAST_WORDS, LEAST_CHARS, SHARED = 10, 4, 10, 2
 #: Words that make up at least this share of all words come last in the order of rarity.
-FREQUENT = 1 / 5000
+FREQUENT = 1 / 20_000
 #: Two groups of copies are joined row by row up to this many pairs; beyond, each row is paired with the other group's first.
 PAIRS = 10_000
 #: Rows of candidates or links, at most, that are broadcast; their number is counted first.
@@ -117,16 +117,49 @@ def size_class(n: int) -> int:
     return int(math.log(n) / math.log(1.25))
 
 
-def word_keys(words: list[str], order: dict[str, int], sides: int = 0) -> Iterator[int]:
-    """Hashes of all pairs of the D + 2 rarest words; a repeated word counts as several."""
+class WordKeys:
+    """Hashes of all pairs of the D + 2 rarest words of a text; a repeated word counts as several."""
+
+    def __init__(self, order: dict[str, int]):
+        self.order, self.known = order, {}
+
+    def __call__(self, words: list[str]) -> list[int]:
+        known = self.known
+        if len(known) > 200_000:
+            known.clear()
+        ranked = []
+        for w in words if len(set(words)) == len(words) else _numbered(words):
+            r = known.get(w)
+            if r is None:
+                r = known[w] = (self.order.get(w.partition("\t")[0], -1), xxhash.xxh64_intdigest(w))
+            ranked.append(r)
+        ranked.sort()
+        few = sorted(h for _, h in ranked[: reach(len(words)) + SHARED])
+        return [(a * 0x9E3779B97F4A7C15 + b) & 0xFFFFFFFFFFFFFFFF for a, b in itertools.combinations(few, 2)]
+
+
+def _numbered(words: list[str]) -> Iterator[str]:
     seen: Counter = Counter()
-    ranked = []
     for w in words:
         seen[w] += 1
-        ranked.append((order.get(w, -1), xxhash.xxh64_intdigest(f"{w}\t{seen[w]}")))
-    ranked.sort()
-    for some in itertools.combinations([h for _, h in ranked[: reach(len(words)) + SHARED]], SHARED):
-        yield xxhash.xxh64_intdigest(min(some).to_bytes(8) + max(some).to_bytes(8))
+        yield f"{w}\t{seen[w]}" if seen[w] > 1 else w
+
+
+def signature(text: str) -> int:
+    """Counts of the characters in sixteen classes, of four bits each. D changes alter them by 2 D at most."""
+    counts = [0] * 16
+    for ch, n in Counter(text).items():
+        counts[(ord(ch) * 0x9E3779B1 >> 13) & 15] += n
+    out = 0
+    for i, n in enumerate(counts):
+        out |= min(n, 15) << 4 * i
+    return out - (1 << 64) if out >> 63 else out
+
+
+def signature_gap(a: Column, b: Column) -> Column:
+    """Sum of the differences of two signatures' counts."""
+    part = lambda c, i: F.shiftrightunsigned(c, 4 * i).bitwiseAND(F.lit(15))
+    return sum((F.abs(part(a, i) - part(b, i)) for i in range(1, 16)), F.abs(part(a, 0) - part(b, 0)))
 
 
 def train_pieces(text: str) -> Iterator[int]:
@@ -189,43 +222,50 @@ def _texts(rows: DataFrame) -> DataFrame:
 
 
 def _frequent(texts: DataFrame) -> list[tuple[str, int]]:
-    """Words with at least the share FREQUENT of all words; fewer than 1 / FREQUENT can have it."""
+    """Words of all spaced texts that make up at least the share FREQUENT; 1 / FREQUENT of them can, at most."""
     counted = texts.filter("not unspaced").select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").count()
     total = counted.agg(F.sum("count")).first()[0] or 0
     return [(r["word"], r["count"]) for r in counted.filter(F.col("count") >= max(2, total * FREQUENT)).collect()]
 
 
 def near_classes(texts: DataFrame) -> DataFrame:
-    """``train_class``, ``held_class`` of different texts that are almost the same."""
-    spark = texts.sparkSession
-    order = spark.sparkContext.broadcast({w: n for w, n in _frequent(texts)})
+    """``train_class``, ``held_class`` of different texts that are almost the same.
+
+    Any order of words finds all pairs; with frequent words last the keys are rare.
+    """
+    order = texts.sparkSession.sparkContext.broadcast(dict(_frequent(texts)))
 
     def keys(side: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of_words = WordKeys(order.value)
             for batch in batches:
-                classes, hashes = [], []
+                texts, hashes = [], []
                 for c, text, unspaced in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    before = len(hashes)
                     if unspaced:
-                        found = train_pieces(text.replace(" ", "")) if side == "train" else probe_pieces(text.replace(" ", ""))
+                        text = text.replace(" ", "")
+                        hashes.extend(train_pieces(text) if side == "train" else probe_pieces(text))
+                        n, least, mark = len(text), least_met(len(text)), signature(text)
                     else:
-                        found = word_keys(text.split(" "), order.value)
-                    before = len(hashes)
-                    hashes.extend(found)
-                    n = len(text.replace(" ", "")) if unspaced else text.count(" ") + 1
-                    classes.append((c, len(hashes) - before, n, least_met(n) if unspaced else 1))
+                        words = text.split(" ")
+                        hashes += of_words(words)
+                        n, least, mark = len(words), 1, 0
+                    texts.append((c, n * 256 + min(least, 255), mark, len(hashes) - before))
                     if len(hashes) > 200_000:
-                        yield _batch(classes, hashes)
-                        classes, hashes = [], []
-                yield _batch(classes, hashes)
+                        yield _batch(texts, hashes)
+                        texts, hashes = [], []
+                yield _batch(texts, hashes)
 
         return run
 
     # One change needs ten units on one side: shorter texts only match exactly.
     long = texts.filter(F.when(F.col("unspaced"), F.length("text") >= 9).otherwise(F.size(F.split("text", " ")) >= 9)).select("class", "text", "unspaced", "train", "held")
-    parts = {side: long.filter(side).select("class", "text", "unspaced").mapInArrow(keys(side), f"{side}_class bigint, key bigint, {side}_n int, {side}_met int") for side in ("train", "held")}
-    near = (F.abs(F.col("train_n") - F.col("held_n")) * TEN <= F.greatest("train_n", "held_n")) & (F.col("train_class") != F.col("held_class"))
+    parts = {side: long.filter(side).select("class", "text", "unspaced").mapInArrow(keys(side), f"{side}_class bigint, key bigint, {side}_size int, {side}_mark bigint") for side in ("train", "held")}
+    n = {side: F.shiftright(f"{side}_size", 8) for side in ("train", "held")}
+    longer = F.greatest(n["train"], n["held"])
+    near = (F.abs(n["train"] - n["held"]) * TEN <= longer) & (F.col("train_class") != F.col("held_class")) & (signature_gap(F.col("train_mark"), F.col("held_mark")) <= 2 * F.floor(longer / TEN))
     joined = parts["train"].join(parts["held"], "key").filter(near)
-    pairs = joined.groupBy("train_class", "held_class").agg(F.count("*").alias("met"), F.max("train_met").alias("least")).filter("met >= least").select("train_class", "held_class")
+    pairs = joined.groupBy("train_class", "held_class").agg(F.count("*").alias("met"), F.max(F.col("train_size").bitwiseAND(F.lit(255))).alias("least")).filter("met >= least").select("train_class", "held_class")
     pairs = materialize(pairs, "candidates")
     # Few candidates, by their count, meet the texts by broadcast; else all are shuffled by class.
     hint = F.broadcast if pairs.count() <= FEW else lambda x: x
@@ -236,10 +276,16 @@ def near_classes(texts: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_verify, "train_class bigint, held_class bigint").distinct()
 
 
-def _batch(classes: list, hashes: list) -> pa.RecordBatch:
-    times = np.array([n for _, n, _, _ in classes], dtype=np.int64)
-    spread = lambda i, kind: pa.array(np.repeat(np.array([c[i] for c in classes], dtype=kind), times))
-    return pa.RecordBatch.from_arrays([spread(0, np.int64), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), spread(2, np.int32), spread(3, np.int32)], ["class", "key", "n", "met"])
+def _batch(texts: list, hashes: list) -> pa.RecordBatch:
+    times = np.array([t[3] for t in texts], dtype=np.int64)
+    spread = lambda i, kind: pa.array(np.repeat(np.array([t[i] for t in texts], dtype=kind), times))
+    return pa.RecordBatch.from_arrays([spread(0, np.int64), pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), spread(1, np.int32), spread(2, np.int64)], ["class", "key", "size", "mark"])
+
+
+def _apart(x: list, y: list, most: int) -> bool:
+    """Whether the units alone, in any order, show more than ``most`` changes."""
+    a, b = Counter(x), Counter(y)
+    return (a - b).total() > most or (b - a).total() > most
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +295,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, unspaced in zip(data["a"], data["b"], data["unspaced"], strict=True):
             x, y = (list(a.replace(" ", "")), list(b.replace(" ", ""))) if unspaced else (a.split(" "), b.split(" "))
             most = max(len(x), len(y)) // TEN
-            keep.append(distance(x, y, most) <= most)
+            keep.append(not _apart(x, y, most) and distance(x, y, most) <= most)
         yield batch.select(["train_class", "held_class"]).filter(pa.array(keep, pa.bool_()))
 
 

@@ -49,13 +49,11 @@ def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    index = table(spark, d, "asr_index_v6_16k")
-    return overlap.overlaps(index, canonical.vocabulary_words(index, "transcript")).select("audio_id_a", "audio_id_b")
+    return overlap.overlaps(table(spark, d, "asr_index_v6_16k")).select("audio_id_a", "audio_id_b")
 
 
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
-    index = table(spark, d, "asr_index_v6_16k")
-    return overlap.overlap_counts(index, canonical.vocabulary_words(index, "transcript"))
+    return overlap.overlap_counts(table(spark, d, "asr_index_v6_16k"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -135,32 +135,43 @@ class Vocabulary:
         Costs: 0 for the same character, a look-alike, or a skipped ignorable; 1 for any other
         exchange, a dropped or an added character.
         """
-        states = {("", 0): (self.root, 0)}
+        states = self._added({"": (self.root, 0)}, budget)
         for ch in token:
             nxt: dict = {}
 
             def put(word: str, node: dict, cost: int, nxt: dict = nxt) -> None:
-                if cost <= budget and nxt.get((word, 0), (None, budget + 1))[1] > cost:
-                    nxt[(word, 0)] = (node, cost)
+                if cost <= budget and nxt.get(word, (None, budget + 1))[1] > cost:
+                    nxt[word] = (node, cost)
 
             similar = [ch, *(x for options in ALIKE.get(ch, {}).values() for x in options)]
-            for (word, _), (node, cost) in states.items():
-                if ignorable(ch):
-                    put(word, node, cost)
+            for word, (node, cost) in states.items():
+                put(word, node, cost + (not ignorable(ch)))
                 for x in similar:
                     if x in node:
                         put(word + x, node[x], cost)
                 if cost < budget:
-                    put(word, node, cost + 1)
                     for x, child in node.items():
                         if x and x not in similar:
                             put(word + x, child, cost + 1)
-            states = nxt
+            states = self._added(nxt, budget)
             if not states:
                 return None
-        found = [(cost, -node[""], word) for (word, _), (node, cost) in states.items() if "" in node]
+        found = [(cost, -node[""], word) for word, (node, cost) in states.items() if "" in node]
         return (min(found)[2], -min(found)[1]) if found else None
 
+    @staticmethod
+    def _added(states: dict, budget: int) -> dict:
+        """The states with those reached by characters that the token lacks."""
+        todo = [x for x in states.items() if x[1][1] < budget]
+        while todo:
+            word, (node, cost) = todo.pop()
+            for x, child in node.items():
+                if x and states.get(word + x, (None, budget + 1))[1] > cost + 1:
+                    states[word + x] = (child, cost + 1)
+                    if cost + 1 < budget:
+                        todo.append((word + x, states[word + x]))
+        return states
+
 
 _tokens = re.compile(r"[^\W\d_]+(?:[^\W_]|['’-]|[̀-ͯ])*")
 

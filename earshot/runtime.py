@@ -49,13 +49,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{spark._earshot_scratch}"
 
 
+_written: list[str] = []
+
+
+def _remove(spark: SparkSession) -> None:
+    """Deletes what ``materialize`` wrote, as far as the session is still there to do it."""
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _written:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+    except Exception:  # the driver is ending; the folder's owner cleans up
+        pass
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts the lineage, survives the loss of executors, and lets several consumers share one
-    evaluation. The files live as long as the shared folder does.
+    evaluation. The files are removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/earshot-{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove, spark)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

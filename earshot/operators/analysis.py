@@ -165,3 +165,17 @@ def sample_per_cell(rows: DataFrame, k: int, seed: int, by: tuple[str, ...] = CE
     spread = rows.withColumns({"_h": order, "_s": F.pmod(F.xxhash64(F.col(key), F.lit(3)), F.lit(64))})
     near = spread.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_s").orderBy("_h", key))).filter(F.col("_r") <= k)
     return near.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_h", key))).filter(F.col("_r") <= k).drop("_h", "_s", "_r")
+
+
+def priority(rows: DataFrame, cells: DataFrame, models: DataFrame) -> DataFrame:
+    """Rows of the chosen cells (dataset, language) and models; both lists are small and broadcast."""
+    return rows.join(F.broadcast(cells.select("dataset", "language").distinct().limit(100_000)), ["dataset", "language"], "left_semi").join(F.broadcast(models.select("model").distinct().limit(100_000)), "model", "left_semi")
+
+
+def judge_rows(rows: DataFrame) -> DataFrame:
+    """Utterances as a judge sees them: label, features and runs of unequal words."""
+    rows = proxies(tier_a(rows)).withColumn("aligned_ops", E.alignment(F.col("ref_words"), F.col("hyp_words"))["ops"])
+    bare = E.word_distance(X.words(U.strip_diacritics(F.col("nref"))), X.words(U.strip_diacritics(F.col("nhyp"))))
+    delta = F.col("wer") - 100 * bare / F.col("n_ref")
+    features = F.struct("cer", "wer", (100 * F.col("ns_errors") / F.col("ns_chars")).alias("scer"), "len_ratio", delta.alias("diacritic_wer_delta"))
+    return rows.select(F.col("dataset").alias("benchmark"), "model", F.col("language").alias("lang"), "pred_id", "sample_id", F.col("nref").alias("reference"), F.col("nhyp").alias("hypothesis"), F.col("tier_a").alias("auto_provenance"), features.alias("features"), "aligned_ops")

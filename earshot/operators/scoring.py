@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from earshot.functions import editdist as E
@@ -181,3 +182,12 @@ def timing(rows: DataFrame, by: tuple[str, ...], seconds: str) -> DataFrame:
     """Total, average and longest time of every group."""
     return rows.groupBy(*by).agg(F.sum(seconds).alias("total_time"), F.avg(seconds).alias("avg_time_per_sample"), F.max(seconds).alias("max_time"), F.count(seconds).alias("n"))
 
+
+def accounting(predictions: DataFrame, by: tuple[str, ...] = CELL, error: str | None = None, examples: int = 3) -> DataFrame:
+    """Per cell: rows, failed and empty hypotheses, and the first error messages by text, each once."""
+    out = [F.count("*").alias("n"), F.count_if(F.col("hypothesis").isNull()).alias("n_failed"), F.count_if(F.col("hypothesis") == "").alias("n_empty_hyp")]
+    if error is None:
+        return predictions.groupBy(*by).agg(*out)
+    distinct = predictions.filter(F.col(error).isNotNull()).groupBy(*by, error).agg(F.count("*").alias("times"))
+    top = distinct.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(error))).filter(F.col("r") <= examples).groupBy(*by).agg(F.array_sort(F.collect_list(error)).alias("errors_sample"))
+    return join_groups(predictions.groupBy(*by).agg(*out), top, by, "left")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earshot.operators.groups import join_groups
+
 ORDERS, CHARS, WORDS, BETA = 4, 6, 2, 2
 _entities = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 #: The punctuation that the 13a tokenisation sets apart.
@@ -129,3 +131,17 @@ def sentence_scores(predictions: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """BLEU and chrF++ of every row."""
     rows = predictions.select(*keep, counts(F.col("reference"), F.col("hypothesis")).alias("c")).select(*keep, F.col("c.bleu").alias("bleu_counts"), F.col("c.chrf").alias("chrf_counts"))
     return rows.select(*keep, _final("bleu").alias("bleu"), _final("chrf").alias("chrf"))
+
+
+def cell_records(predictions: DataFrame, by: tuple[str, ...], segment_scores: DataFrame | None = None, key: str = "pred_id") -> DataFrame:
+    """One record for each translation cell: BLEU, chrF++, the kind of system, and learned metrics.
+
+    A cell is cascaded if any row has an ``intermediate`` text. ``segment_scores`` (key, spbleu,
+    ssa_comet) come from an outside scorer; without one both metrics are null.
+    """
+    kind = predictions.groupBy(*by).agg(F.when(F.bool_or(F.col("intermediate").isNotNull()), "cascaded").otherwise("end_to_end").alias("model_type"))
+    out = join_groups(corpus_scores(predictions, by), kind, by)
+    if segment_scores is None:
+        return out.withColumns({"spbleu": F.lit(None).cast("double"), "ssa_comet": F.lit(None).cast("double")})
+    learned = predictions.select(*by, key).join(segment_scores.select(key, "spbleu", "ssa_comet"), key, "left").groupBy(*by).agg(F.avg("spbleu").alias("spbleu"), F.avg("ssa_comet").alias("ssa_comet"))
+    return join_groups(out, learned, by)

@@ -118,6 +118,18 @@ def cascade(df: DataFrame, recognizer: str | Callable[[], object], translator: C
     return translate(heard, translator, "intermediate", source, target)
 
 
+def provenance(model: str, policy: str = "v1", **more: str) -> dict[str, str]:
+    """What is needed to make a score again: policy, model, versions; kept beside the results."""
+    import platform
+
+    import numpy
+    import pyspark
+
+    import earshot
+
+    return {"policy": policy, "model": model, "earshot": earshot.__version__, "pyspark": pyspark.__version__, "numpy": numpy.__version__, "python": platform.python_version()} | more
+
+
 class Oracle:
     """Says the reference."""
 

@@ -475,3 +475,37 @@ def file_names(s, d):
 @query
 def fixed_subset(s, d):
     return table(s, d, "predictions").groupBy("dataset").agg(F.count("*").alias("n"), F.count_if(X.in_subset(F.col("sample_id"), 0.1)).alias("n_in_subset"))
+
+
+@query
+def judge_enrichment(s, d):
+    out = A.judge_rows(_rows(s, d))
+    return out.select("pred_id", "auto_provenance", "features.*", F.size("aligned_ops").alias("n_ops"))
+
+
+@query
+def priority_rows(s, d):
+    p = table(s, d, "predictions")
+    cells = s.createDataFrame([("lakevoice", "sw_ke"), ("openstudio", "en_us")], "dataset string, language string")
+    return A.priority(p, cells, table(s, d, "models").filter("has_lm").select(F.col("model_id").alias("model"))).groupBy("dataset", "language", "model").agg(F.count("*").alias("n"))
+
+
+@query
+def translation_cells(s, d):
+    p = table(s, d, "predictions").withColumn("intermediate", F.when(F.col("model").contains("llm"), F.col("hypothesis")))
+    return M.cell_records(p, ("dataset", "model")).select("dataset", "model", "model_type", "num_samples", "spbleu", "ssa_comet")
+
+
+@query
+def source_languages(s, d):
+    from earshot.sources import readers
+
+    return readers.languages(table(s, d, "asr_index_v6_16k"))
+
+
+@query
+def model_language_pairs(s, d):
+    from earshot.sources import readers
+
+    return readers.language_pairs(table(s, d, "predictions").filter("language is not null"), "model")
+

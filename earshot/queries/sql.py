@@ -218,4 +218,8 @@ SELECT pred_id, coalesce(array_to_string(list_transform(list_filter(range(1, len
 SELECT pred_id, nullif(regexp_extract(t, '^[{_ws}]*(\\[[A-Z]{{3}}\\])[{_ws}]*', 1), '') AS tag, regexp_replace(t, '^[{_ws}]*(\\[[A-Z]{{3}}\\])[{_ws}]*', '') AS text FROM x""",
     "detokenized": f"SELECT pred_id, trim(regexp_replace(coalesce(reference, ''), '[{_ws}]+([.,!?;:])', '\\1', 'g')) AS text FROM predictions",
     "file_names": "WITH p AS (SELECT DISTINCT dataset, model, language FROM predictions) SELECT '/x/' || dataset || '/predictions/' || model || '_asr_' || coalesce(language, 'none') || '.csv' AS path, dataset, model, coalesce(language, 'none') AS language, NOT regexp_matches(model || '_asr_' || coalesce(language, 'none'), 'ast|translate|cascaded') AS included FROM p",
+    "priority_rows": "SELECT dataset, language, model, count(*) AS n FROM predictions WHERE (dataset, language) IN (('lakevoice', 'sw_ke'), ('openstudio', 'en_us')) AND model IN (SELECT model_id FROM models WHERE has_lm) GROUP BY ALL",
+    "translation_cells": "SELECT dataset, model, CASE WHEN bool_or(model LIKE '%llm%' AND hypothesis IS NOT NULL) THEN 'cascaded' ELSE 'end_to_end' END AS model_type, count(*) AS num_samples, CAST(NULL AS DOUBLE) AS spbleu, CAST(NULL AS DOUBLE) AS ssa_comet FROM predictions GROUP BY ALL",
+    "source_languages": "SELECT language, count(*) AS n FROM asr_index_v6_16k WHERE language IS NOT NULL GROUP BY language",
+    "model_language_pairs": "WITH x AS (SELECT DISTINCT model, language FROM predictions WHERE language IS NOT NULL) SELECT a.language AS source_lang, b.language AS target_lang, count(*) AS n FROM x a JOIN x b ON a.model = b.model WHERE a.language <> b.language GROUP BY ALL",
 }

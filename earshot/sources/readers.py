@@ -129,6 +129,30 @@ def judgments(spark: SparkSession, path: str, done_only: bool = False) -> DataFr
     return rows.filter("provenance is not null") if done_only else rows
 
 
+def local_samples(rows: DataFrame, audio: DataFrame, prefix: str, path: str = "audio", ordinal: str = "ordinal") -> tuple[DataFrame, DataFrame]:
+    """Rows whose audio file is there, with ids of prefix, row number and file stem, and the rows whose file is missing.
+
+    ``audio``: a listing with ``path``; files are matched by name.
+    """
+    name = F.regexp_extract(F.col(path), r"([^/]+)$", 1)
+    named = rows.withColumns({"file_name": name, "sample_id": F.concat_ws("_", F.lit(prefix), F.col(ordinal), F.regexp_replace(name, r"\.[^.]*$", ""))})
+    there = audio.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name")).distinct()
+    return named.join(there, "file_name", "left_semi"), named.join(there, "file_name", "left_anti")
+
+
+def languages(df: DataFrame, column: str = "language") -> DataFrame:
+    """The languages of a source and their numbers of rows."""
+    return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+
+
+def language_pairs(df: DataFrame, key: str, column: str = "language") -> DataFrame:
+    """Ordered pairs of languages that share a key, and how many; a key may have each language once."""
+    sides = df.select(key, column).dropDuplicates()
+    found = sides.groupBy(key).agg(F.array_sort(F.collect_set(column)).alias("all"))
+    pairs = found.select(F.explode("all").alias("source_lang"), "all").select("source_lang", F.explode("all").alias("target_lang"))
+    return pairs.filter("source_lang <> target_lang").groupBy("source_lang", "target_lang").agg(F.count("*").alias("n"))
+
+
 _SOURCES: dict[str, Callable[..., DataFrame]] = {"fleurs": fleurs, "waxal": waxal, "simba": simba, "bigc": bigc, "bembaspeech": bembaspeech, "nchlt": nchlt}
 
 

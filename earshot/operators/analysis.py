@@ -174,8 +174,8 @@ def priority(rows: DataFrame, cells: DataFrame, models: DataFrame) -> DataFrame:
 
 def judge_rows(rows: DataFrame) -> DataFrame:
     """Utterances as a judge sees them: label, features and runs of unequal words."""
-    rows = proxies(tier_a(rows)).withColumn("aligned_ops", E.alignment(F.col("ref_words"), F.col("hyp_words"))["ops"])
-    bare = E.word_distance(X.words(U.strip_diacritics(F.col("nref"))), X.words(U.strip_diacritics(F.col("nhyp"))))
-    delta = F.col("wer") - 100 * bare / F.col("n_ref")
+    rows = proxies(tier_a(rows)).withColumns({"aligned_ops": E.alignment(F.col("ref_words"), F.col("hyp_words"))["ops"], "bare_ref": U.strip_diacritics(F.col("nref")), "bare_hyp": U.strip_diacritics(F.col("nhyp"))})
+    rows = rows.withColumns({"bare_ref": X.words(F.col("bare_ref")), "bare_hyp": X.words(F.col("bare_hyp"))})
+    delta = F.col("wer") - 100 * E.word_distance(F.col("bare_ref"), F.col("bare_hyp")) / F.col("n_ref")
     features = F.struct("cer", "wer", (100 * F.col("ns_errors") / F.col("ns_chars")).alias("scer"), "len_ratio", delta.alias("diacritic_wer_delta"))
     return rows.select(F.col("dataset").alias("benchmark"), "model", F.col("language").alias("lang"), "pred_id", "sample_id", F.col("nref").alias("reference"), F.col("nhyp").alias("hypothesis"), F.col("tier_a").alias("auto_provenance"), features.alias("features"), "aligned_ops")

@@ -119,8 +119,9 @@ def strict_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def metrics(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Metric records of all ``*_metrics.json`` under a folder, and the files that can't be read."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_metrics.json").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").schema(METRICS + ", corrupt string").json(root).withColumn("file", F.col("_metadata.file_path"))
-    return rows.filter("corrupt is null").drop("corrupt"), rows.filter("corrupt is not null").select("file")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_metrics.json").option("wholetext", True).text(root).withColumn("file", F.col("_metadata.file_path"))
+    broken = F.get_json_object("value", "$").isNull()
+    return files.filter(~broken).select(F.from_json("value", METRICS).alias("m"), "file").select("m.*", "file"), files.filter(broken).select("file")
 
 
 def judgments(spark: SparkSession, path: str, done_only: bool = False) -> DataFrame:

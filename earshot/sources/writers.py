@@ -24,7 +24,7 @@ def predictions(df: DataFrame, path: str, by: tuple[str, ...] = CELL) -> None:
 def strict_csv(df: DataFrame, path: str) -> None:
     """Strict predictions: failed rows are marked, their text is empty."""
     out = df.select("sample_id", "reference", F.coalesce("hypothesis", F.lit("")).alias("hypothesis"), F.col("hypothesis").isNull().cast("int").alias("failed"))
-    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def append_results(df: DataFrame, path: str) -> None:
@@ -39,7 +39,7 @@ def metrics(df: DataFrame, path: str) -> None:
 def manifest(df: DataFrame, path: str) -> None:
     """A manifest in TSV with one line for each row."""
     out = df.withColumn("transcript_raw", X.one_line(F.col("transcript_raw"))) if "transcript_raw" in df.columns else df
-    out.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "\u0000").csv(path)
+    out.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "\u0000").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def summary(df: DataFrame, path: str) -> None:

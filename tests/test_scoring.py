@@ -127,7 +127,7 @@ def test_stub_models(spark):
     assert rates("corrupt")["cer"] > 0
     assert S.strict_results(S.strict_utterances(R.transcribe(base, "crash"))).first()["status"] == "aborted"
     with pytest.raises(Exception, match="outputs for"):
-        R.transcribe(base, "wronglength").collect()
+        R.transcribe(base.coalesce(1), "wronglength").collect()
     one = R.transcribe(base.repartition(1), lambda: R.FailOne("s1"))
     assert {r["sample_id"]: r["failed"] for r in one.collect()} == {"s0": False, "s1": True}
     lenient = R.transcribe(base, "crash", strict=False).collect()

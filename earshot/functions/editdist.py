@@ -20,9 +20,13 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
     worst case, a pair of a thousand words each.
     """
     both = F.array_distinct(F.concat(reference, hypothesis))
-    letters = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.hex(F.array_position(both, w) + 19967)), "UTF-16BE")), "")
-    # Equal sides, most rows of good systems, need no letters; the empty ones neither.
-    return F.when(reference == hypothesis, 0).when(F.size(hypothesis) == 0, F.size(reference)).otherwise(F.levenshtein(letters(reference), letters(hypothesis)))
+    few = lambda ws: F.array_join(F.transform(ws, lambda w: F.char(F.array_position(both, w))), "")
+    many = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.hex(F.array_position(both, w) + 19967)), "UTF-16BE")), "")
+    # Equal sides, most rows of good systems, need no letters; the empty ones neither. One byte names up to 255 words.
+    return (
+        F.when(reference == hypothesis, 0).when(F.size(hypothesis) == 0, F.size(reference))
+        .when(F.size(reference) + F.size(hypothesis) < 256, F.levenshtein(few(reference), few(hypothesis))).otherwise(F.levenshtein(many(reference), many(hypothesis)))
+    )
 
 
 def char_distance(reference: Column, hypothesis: Column) -> Column:

@@ -119,7 +119,7 @@ def drop_silence(c: Column) -> Column:
 
 def detokenize(c: Column) -> Column:
     """No blank before closing punctuation."""
-    return F.trim(F.regexp_replace(_text(c), f"[{WS}]+([.,!?;:])", "$1"))
+    return F.regexp_replace(F.regexp_replace(_text(c), f"[{WS}]+([.,!?;:])", "$1"), f"^[{WS}]+|[{WS}]+$", "")
 
 
 def language_tag(c: Column) -> Column:

@@ -11,6 +11,7 @@ from earshot.functions import text as X
 from earshot.functions import unicode as U
 from earshot.operators.groups import join_groups
 from earshot.operators.scoring import CELL, per_utterance, rate, utterances
+from earshot.runtime import spread
 
 # Thresholds of the pathology labels and of the proxies.
 LOOP_RATIO, LOOP_REPEATS, LOOP_N, SHORT_RATIO = 3.0, 0.5, 5, 0.5
@@ -82,7 +83,7 @@ def sweep(predictions: DataFrame, by: tuple[str, ...] = CELL) -> DataFrame:
     reference under a scheme has rate 0 there, as a defined value.
     """
     forms = [F.struct(F.lit(i).alias("scheme_idx"), F.lit(name).alias("scheme"), X.normalize(F.col("reference"), **kw).alias("nref"), X.normalize(F.col("hypothesis"), **kw).alias("nhyp")) for i, (name, kw) in enumerate(X.SCHEMES)]
-    long = predictions.select(*by, F.explode(F.array(*forms)).alias("x")).select(*by, "x.*")
+    long = spread(predictions.select(*by, "reference", "hypothesis")).select(*by, F.explode(F.array(*forms)).alias("x")).select(*by, "x.*")
     long = long.withColumns({"r": X.words(F.col("nref")), "h": X.words(F.col("nhyp"))})
     used = F.trim("nref") != ""
     sums = long.groupBy(*by, "scheme_idx", "scheme").agg(

@@ -12,6 +12,7 @@ from earshot.functions import editdist as E
 from earshot.functions import text as X
 from earshot.functions import unicode as U
 from earshot.operators.groups import join_groups
+from earshot.runtime import spread
 
 #: A cell is one run of one model on one language of one dataset.
 CELL = ("experiment", "dataset", "model", "language")
@@ -29,7 +30,7 @@ def utterances(predictions: DataFrame, reference: Column | None = None, hypothes
     """
     ref = X.normalize(F.col("reference")) if reference is None else reference
     hyp = X.normalize(F.col("hypothesis")) if hypothesis is None else hypothesis
-    rows = predictions.select(*keep, ref.alias("nref"), hyp.alias("nhyp")).filter(F.trim("nref") != "")
+    rows = spread(predictions).select(*keep, ref.alias("nref"), hyp.alias("nhyp")).filter(F.trim("nref") != "")
     rows = rows.withColumns({"ref_words": X.words(F.col("nref")), "hyp_words": X.words(F.col("nhyp"))})
     return rows.withColumns({
         "n_ref": F.size("ref_words"), "n_hyp": F.size("hyp_words"), "n_chars": F.length("nref"),
@@ -65,7 +66,7 @@ def rescore(predictions: DataFrame, metrics: tuple[str, ...] = ("wer", "cer"), b
 def strict_utterances(predictions: DataFrame, by: tuple[str, ...] = CELL) -> DataFrame:
     """Rows of the strict path: policy normaliser, nothing left out, null hypotheses kept as failures."""
     ref, hyp = X.policy_normalize(F.col("reference")), X.policy_normalize(F.col("hypothesis"))
-    rows = predictions.select(*by, "pred_id", "sample_id", F.col("hypothesis").isNull().alias("failed"), (F.col("hypothesis") == "").alias("empty"), ref.alias("nref"), hyp.alias("nhyp"))
+    rows = spread(predictions).select(*by, "pred_id", "sample_id", F.col("hypothesis").isNull().alias("failed"), (F.col("hypothesis") == "").alias("empty"), ref.alias("nref"), hyp.alias("nhyp"))
     rows = rows.withColumns({"ref_words": X.words(F.col("nref")), "hyp_words": X.words(F.col("nhyp"))})
     return rows.withColumns({"n_ref": F.size("ref_words"), "n_chars": F.length("nref"), "word_errors": E.word_distance(F.col("ref_words"), F.col("hyp_words")), "char_errors": E.char_distance(F.col("nref"), F.col("nhyp"))})
 

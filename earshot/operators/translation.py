@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.operators.groups import join_groups
+from earshot.runtime import spread
 
 ORDERS, CHARS, WORDS, BETA = 4, 6, 2, 2
 _entities = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
@@ -120,7 +121,7 @@ def _final(name: str) -> Column:
 
 def corpus_scores(predictions: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """BLEU and chrF++ of every cell. Only sums of counts are shuffled."""
-    rows = predictions.select(*by, counts(F.col("reference"), F.col("hypothesis")).alias("c"))
+    rows = spread(predictions.select(*by, "reference", "hypothesis")).select(*by, counts(F.col("reference"), F.col("hypothesis")).alias("c"))
     sums = [F.sum(F.col(f"c.{name}")[i]).alias(f"{name}{i}") for name, k in (("bleu", 2 + 2 * ORDERS), ("chrf", 3 * (CHARS + WORDS))) for i in range(k)]
     out = rows.groupBy(*by).agg(F.count("*").alias("num_samples"), *sums)
     out = out.withColumns({"bleu_counts": F.array(*(F.col(f"bleu{i}") for i in range(2 + 2 * ORDERS))), "chrf_counts": F.array(*(F.col(f"chrf{i}") for i in range(3 * (CHARS + WORDS))))})
@@ -129,7 +130,7 @@ def corpus_scores(predictions: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def sentence_scores(predictions: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """BLEU and chrF++ of every row."""
-    rows = predictions.select(*keep, counts(F.col("reference"), F.col("hypothesis")).alias("c")).select(*keep, F.col("c.bleu").alias("bleu_counts"), F.col("c.chrf").alias("chrf_counts"))
+    rows = spread(predictions.select(*keep, "reference", "hypothesis")).select(*keep, counts(F.col("reference"), F.col("hypothesis")).alias("c")).select(*keep, F.col("c.bleu").alias("bleu_counts"), F.col("c.chrf").alias("chrf_counts"))
     return rows.select(*keep, _final("bleu").alias("bleu"), _final("chrf").alias("chrf"))
 
 

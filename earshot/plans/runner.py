@@ -177,11 +177,11 @@ class FailOne:
         return [r["reference"] for r in rows]
 
 
-class Upper:
-    """Translates by writing in capitals."""
+class Marked:
+    """Translates by naming the target."""
 
     def translate(self, texts: list[str], source: str, target: str) -> list[str]:
-        return [t.upper() for t in texts]
+        return [f"<{target}> {t}" for t in texts]
 
 
 for _name, _make in (("oracle", Oracle), ("silent", Silent), ("crash", Crash), ("corrupt", Corrupt), ("wronglength", WrongLength)):

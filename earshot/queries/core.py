@@ -442,7 +442,7 @@ def stub_crash(s, d):
 
 @query
 def stub_cascade(s, d):
-    out = R.cascade(table(s, d, "predictions").select("pred_id", "language", "reference"), "oracle", R.Upper, "sw_ke", "en_us")
+    out = R.cascade(table(s, d, "predictions").select("pred_id", "language", "reference"), "oracle", R.Marked, "sw_ke", "en_us")
     return out.select("pred_id", "intermediate", "hypothesis")
 
 

@@ -211,13 +211,13 @@ SELECT dataset, p.language, CASE WHEN av.source IS NULL THEN 'not in dataset' WH
     "stub_oracle": f"WITH n AS (SELECT dataset, {normal('reference')} AS nref FROM predictions) SELECT dataset, CAST(0 AS DOUBLE) AS wer, CAST(0 AS DOUBLE) AS cer, count(*) AS num_samples FROM n WHERE nref <> '' GROUP BY dataset",
     "stub_silent": f"WITH n AS (SELECT dataset, {normal('reference')} AS nref FROM predictions) SELECT dataset, CAST(100 AS DOUBLE) AS wer, CAST(100 AS DOUBLE) AS cer, count(*) AS num_samples FROM n WHERE nref <> '' GROUP BY dataset",
     "stub_crash": "SELECT dataset, 'aborted' AS status, count(*) AS n, count(*) AS n_failed FROM predictions GROUP BY dataset",
-    "stub_cascade": "SELECT pred_id, reference AS intermediate, upper(reference) AS hypothesis FROM predictions",
+    "stub_cascade": "SELECT pred_id, reference AS intermediate, '<en_us> ' || reference AS hypothesis FROM predictions",
     "ctc_collapsed": """WITH x AS (SELECT pred_id, list_transform(string_split(sample_id, ''), lambda c: ascii(c) % 5) AS v FROM predictions)
 SELECT pred_id, coalesce(array_to_string(list_transform(list_filter(range(1, len(v) + 1), lambda i: v[i] <> 0 AND (i = 1 OR v[i] <> v[i - 1])), lambda i: v[i]), ','), '') AS labels FROM x""",
     "language_tags": f"""WITH x AS (SELECT pred_id, CASE WHEN pred_id % 2 = 0 THEN '[SWA] ' || coalesce(hypothesis, '') ELSE coalesce(hypothesis, '') END AS t FROM predictions)
 SELECT pred_id, nullif(regexp_extract(t, '^[{_ws}]*(\\[[A-Z]{{3}}\\])[{_ws}]*', 1), '') AS tag, regexp_replace(t, '^[{_ws}]*(\\[[A-Z]{{3}}\\])[{_ws}]*', '') AS text FROM x""",
-    "detokenized": f"SELECT pred_id, trim(regexp_replace(coalesce(reference, ''), '[{_ws}]+([.,!?;:])', '\\1', 'g')) AS text FROM predictions",
-    "file_names": "WITH p AS (SELECT DISTINCT dataset, model, language FROM predictions) SELECT '/x/' || dataset || '/predictions/' || model || '_asr_' || coalesce(language, 'none') || '.csv' AS path, dataset, model, coalesce(language, 'none') AS language, NOT regexp_matches(model || '_asr_' || coalesce(language, 'none'), 'ast|translate|cascaded') AS included FROM p",
+    "detokenized": f"SELECT pred_id, regexp_replace(regexp_replace(coalesce(reference, ''), '[{_ws}]+([.,!?;:])', '\\1', 'g'), '^[{_ws}]+|[{_ws}]+$', '', 'g') AS text FROM predictions",
+    "file_names": "WITH p AS (SELECT DISTINCT dataset, model, language FROM predictions) SELECT '/x/' || dataset || '/predictions/' || model || '_asr_' || coalesce(language, 'none') || '.csv' AS path, dataset, model, nullif(coalesce(language, 'none'), '') AS language, NOT regexp_matches(model || '_asr_' || coalesce(language, 'none'), 'ast|translate|cascaded') AS included FROM p",
     "priority_rows": "SELECT dataset, language, model, count(*) AS n FROM predictions WHERE (dataset, language) IN (('lakevoice', 'sw_ke'), ('openstudio', 'en_us')) AND model IN (SELECT model_id FROM models WHERE has_lm) GROUP BY ALL",
     "translation_cells": "SELECT dataset, model, CASE WHEN bool_or(model LIKE '%llm%' AND hypothesis IS NOT NULL) THEN 'cascaded' ELSE 'end_to_end' END AS model_type, count(*) AS num_samples, CAST(NULL AS DOUBLE) AS spbleu, CAST(NULL AS DOUBLE) AS ssa_comet FROM predictions GROUP BY ALL",
     "source_languages": "SELECT language, count(*) AS n FROM asr_index_v6_16k WHERE language IS NOT NULL GROUP BY language",

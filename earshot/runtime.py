@@ -76,3 +76,13 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its source gives fewer partitions than there are cores.
+
+    One small file is one partition, however much work each row is. A large input has more
+    partitions than cores and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

@@ -139,8 +139,8 @@ def test_stub_models(spark):
 
 def test_cascade_skips_blank(spark):
     base = spark.createDataFrame([("l", "ab"), ("l", " "), ("l", None)], "language string, reference string")
-    got = R.cascade(base, "oracle", R.Upper, "x", "y").collect()
-    assert sorted((r["intermediate"] or "", r["hypothesis"]) for r in got)[-1] == ("ab", "AB")
+    got = R.cascade(base, "oracle", R.Marked, "x", "y").collect()
+    assert sorted((r["intermediate"] or "", r["hypothesis"]) for r in got)[-1] == ("ab", "<y> ab")
 
 
 def test_shards_equal_whole(spark, data):

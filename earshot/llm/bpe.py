@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from earshot.runtime import spread
+
 #: Folder of the public vocabulary files; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pattern that splits a text before merging, part of these vocabularies.
@@ -152,7 +154,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    out = spread(df).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("key", key)
 
 

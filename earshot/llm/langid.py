@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm.canonical import canonical
+from earshot.runtime import spread
 
 ORDERS = (1, 2, 3, 4, 5)
 #: How much a hit of each order counts, whole words last: n-grams of a word overlap, the more the longer they are.
@@ -367,7 +368,7 @@ def languages_of(df: DataFrame, filters: Filters, known: dict[str, str], key: st
                 found.append([{"language": codes[i], "confidence": c, "start": s, "end": e} for s, e, i, c in parts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(verdicts, pa.string()), pa.array(found, part_type)], ["key", "label", "verdict", "parts"])
 
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string"), F.col(label).cast("string"))
+    rows = spread(df).select(F.col(key).alias("key"), F.col(text).cast("string"), F.col(label).cast("string"))
     return rows.mapInArrow(run, f"key {kind.simpleString()}, label string, verdict string, parts array<struct<{_PARTS.replace(' ', ': ').replace(',: ', ', ')}>>").withColumnRenamed("key", key)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from earshot.llm import bpe
-from earshot.runtime import materialize
+from earshot.runtime import materialize, spread
 
 #: Buckets of ln(rank) for each source, and buckets for each doubling of the size.
 RANK_BUCKETS, SIZE_STEPS = 4096, 64
@@ -32,7 +32,7 @@ def _uniform(key: Column, seed: int) -> Column:
 
 def sized(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", path: str | None = None) -> DataFrame:
     """``key``, ``source``, ``tokens`` of every record, counted once and kept in the shared folder."""
-    rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), bpe.token_count(F.col(text).cast("string"), path).alias("tokens"))
+    rows = spread(df).select(F.col(key).alias("key"), F.col(source).alias("source"), bpe.token_count(F.col(text).cast("string"), path).alias("tokens"))
     return materialize(rows, "sizes")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm import canonical
-from earshot.runtime import materialize
+from earshot.runtime import materialize, spread
 
 #: Spellings of the splits.
 SPLITS = {"training": "train", "validation": "dev", "valid": "dev", "val": "dev", "eval": "test"}
@@ -210,7 +210,7 @@ def prepare(index: DataFrame, key: str = "audio_id", text: str = "transcript", s
             yield out.filter(pa.array(keep, pa.bool_()))
 
     names = ["key", "split", "language", *extra]
-    rows = index.select(F.col(text).cast("string").alias("value"), F.col(key).cast("string").alias("key"), split_name(F.col(split)).alias("split"), F.col(language).cast("string").alias("language"), *(F.col(x).cast("string").alias(x) for x in extra))
+    rows = spread(index).select(F.col(text).cast("string").alias("value"), F.col(key).cast("string").alias("key"), split_name(F.col(split)).alias("split"), F.col(language).cast("string").alias("language"), *(F.col(x).cast("string").alias(x) for x in extra))
     rows = rows.filter(F.col("value").isNotNull() & F.col("key").isNotNull() & F.col("split").isin("train", "dev", "test"))
     schema = ", ".join(f"{n} string" for n in names) + ", text string, unspaced boolean, class bigint"
     return materialize(rows.mapInArrow(run, schema), "transcripts")

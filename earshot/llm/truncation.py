@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm.canonical import canonical
+from earshot.runtime import spread
 
 #: Rows in the training sample (at most), slots of the hashed weights, passes over the sample.
 SAMPLE, SLOTS, PASSES = 12_000, 1 << 18, 10
@@ -262,7 +263,7 @@ def scores(df: DataFrame, model: Classifier, key: str = "pred_id", hypothesis: s
             index = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), pa.array(names, pa.string()), batch.column(1).take(index), pa.array(values, pa.float64()), pa.array([v > 0 for v in values], pa.bool_())], ["key", "field", "grp", "score", "cut"])
 
-    rows = df.select(F.col(key).alias("key"), F.col(group).cast("string").alias("grp"), F.col(hypothesis).cast("string").alias("h"), F.col(reference).cast("string").alias("r"))
+    rows = spread(df).select(F.col(key).alias("key"), F.col(group).cast("string").alias("grp"), F.col(hypothesis).cast("string").alias("h"), F.col(reference).cast("string").alias("r"))
     return rows.mapInArrow(run, f"key {kind}, field string, grp string, score double, cut boolean").withColumnsRenamed({"key": key, "grp": group})
 
 

@@ -6,6 +6,8 @@ Levenshtein distance counts them. Only alignments, which no expression gives, us
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,13 +22,17 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
     worst case, a pair of a thousand words each.
     """
     both = F.array_distinct(F.concat(reference, hypothesis))
-    few = lambda ws: F.array_join(F.transform(ws, lambda w: F.char(F.array_position(both, w))), "")
-    many = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.hex(F.array_position(both, w) + 19967)), "UTF-16BE")), "")
+    byte = lambda v, w: F.char(F.array_position(v, w))
+    ideograph = lambda v, w: F.decode(F.unhex(F.hex(F.array_position(v, w) + 19967)), "UTF-16BE")
+
+    def between(letter: Callable[[Column, Column], Column]) -> Column:
+        spelt = lambda v, ws: F.array_join(F.transform(ws, lambda w: letter(v, w)), "")
+        # An array of one list binds the list of words, which is else made again for every word.
+        return F.transform(F.array(both), lambda v: F.levenshtein(spelt(v, reference), spelt(v, hypothesis)))[0]
+
     # Equal sides, most rows of good systems, need no letters; the empty ones neither. One byte names up to 255 words.
-    return (
-        F.when(reference == hypothesis, 0).when(F.size(hypothesis) == 0, F.size(reference))
-        .when(F.size(reference) + F.size(hypothesis) < 256, F.levenshtein(few(reference), few(hypothesis))).otherwise(F.levenshtein(many(reference), many(hypothesis)))
-    )
+    few = F.size(reference) + F.size(hypothesis) < 256
+    return F.when(reference == hypothesis, 0).when(F.size(hypothesis) == 0, F.size(reference)).when(few, between(byte)).otherwise(between(ideograph))
 
 
 def char_distance(reference: Column, hypothesis: Column) -> Column:

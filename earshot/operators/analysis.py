@@ -11,7 +11,7 @@ from earshot.functions import text as X
 from earshot.functions import unicode as U
 from earshot.operators.groups import join_groups
 from earshot.operators.scoring import CELL, per_utterance, rate, utterances
-from earshot.runtime import spread
+from earshot.runtime import materialize, spread
 
 # Thresholds of the pathology labels and of the proxies.
 LOOP_RATIO, LOOP_REPEATS, LOOP_N, SHORT_RATIO = 3.0, 0.5, 5, 0.5
@@ -38,6 +38,8 @@ def distribution(rows: DataFrame, by: tuple[str, ...] = CELL, trim: float = TRIM
     the trim the first by ``order`` are kept.
     """
     rows = per_utterance(rows).withColumn("len_ratio", X.length_ratio(F.col("ref_words"), F.col("hyp_words")))
+    # Read four times below, so the distances are kept.
+    rows = materialize(rows.select(*by, order, "wer", "cer", "word_errors", "n_ref", "char_errors", "n_chars", "len_ratio"), "rates")
     collapse, fmt = flags(F.col("wer"), F.col("cer"))
     base = rows.groupBy(*by).agg(
         F.count("*").alias("n"), rate("word_errors", "n_ref").alias("corpus_wer"), rate("char_errors", "n_chars").alias("corpus_cer"), F.avg("wer").alias("mean_wer"),
@@ -57,7 +59,8 @@ def trimmed(rows: DataFrame, by: tuple[str, ...] = CELL, trim: float = TRIM, ord
 
     All rows under the limit's rate are kept as sums; only rows at the limit itself are put in order.
     """
-    rows = rows if "wer" in rows.columns else per_utterance(rows)
+    if "wer" not in rows.columns or "ref_words" in rows.columns:
+        rows = materialize(per_utterance(rows).select(*by, order, "wer", "word_errors", "n_ref"), "rates")
     values = rows.groupBy(*by, "wer").agg(F.count("*").alias("times"), F.sum("word_errors").alias("e"), F.sum("n_ref").alias("u"))
     up = W.partitionBy(*by).orderBy("wer")
     ranked = values.withColumns({"until": F.sum("times").over(up), "n": F.sum("times").over(W.partitionBy(*by))}).withColumn("keep", F.col("n") - F.floor(F.col("n") * trim))

@@ -285,7 +285,7 @@ def is_safe(text: Column) -> Column:
 def canonical_column(text: Column, words: list[tuple[str, int]] | None = None) -> Column:
     """The consistent form of a column. Values that can't change never leave the JVM."""
     sent = None if words is None else _broadcast(words)
-    name = str(id(sent))
+    name = "" if sent is None else f"column {sent._jbroadcast.id()}"
 
     @F.arrow_udf("string")
     def convert(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -316,7 +316,7 @@ def changed_values(tables: dict[str, tuple[DataFrame, str, list[str]]], words: l
     for part in parts[1:]:
         rows = rows.unionByName(part)
     sent = None if words is None else _broadcast(words)
-    label = str(id(sent))
+    label = "" if sent is None else f"values {sent._jbroadcast.id()}"
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = worker_vocabulary(None if sent is None else sent.value, label)

@@ -5,12 +5,16 @@ punctuation), and every comparison is a join on hashes of that form or of parts
 
 * the same: one hash of all letters and digits;
 * almost the same, spaced scripts: with at most D changed words of n, two texts share all but D of
-  their words, so their D + 2 rarest words share two; hashes of pairs of these are joined;
+  their words, so their D + 2 rarest words share two; hashes of pairs of these are joined. Pairs grow
+  with the square of D, so texts of more than LONG words use runs of three words: D changes spoil at
+  most 4 D of them, and of the first 4 D + 1 in the order of a hash two texts share one;
 * almost the same, scripts without spaces: of the training text's pieces of three or four characters
   at most 2 D are spoilt by D changes (an exchange of neighbours can spoil two); the others lie near
   their places in the other text. Hashes of pieces with their places are joined, and met pieces counted.
 
-Joined texts are then compared exactly. Copies of a text are one text until the end.
+Every key names the class of sizes a partner may have, so that a key which many texts hold meets texts
+of its size only. Joined texts are then compared exactly. Copies of a text are one class, and what
+comes out are links between classes, their members, and pairs of members that hold every link.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,8 @@ SPLITS = {"training": "train", "validation": "dev", "valid": "dev", "val": "dev"
 TEN, LEAST_WORDS, LEAST_CHARS, SHARED = 10, 4, 10, 2
 #: Words that make up at least this share of all words come last in the order of rarity.
 FREQUENT = 1 / 20_000
-#: Two groups of copies are joined row by row up to this many pairs; beyond, each row is paired with the other group's first.
-PAIRS = 10_000
+#: Texts of more words than this are joined by runs of RUN words.
+LONG, RUN = 48, 3
 #: Rows of candidates or links, at most, that are broadcast; their number is counted first.
 FEW = 200_000
 
@@ -74,32 +78,36 @@ def reach(n: int) -> int:
 
 
 def distance(a: list, b: list, limit: int) -> int:
-    """Changed, added and dropped units and exchanged neighbours; ``limit`` + 1 if there are more."""
+    """Changed, added and dropped units and exchanged neighbours; ``limit`` + 1 if there are more.
+
+    For 0, 1, 2 ... changes it is known how far into ``a`` each diagonal can be read, so the work grows
+    with the square of the changes, not with the product of the sizes.
+    """
     n, m = len(a), len(b)
     if abs(n - m) > limit:
         return limit + 1
-    far = limit + 1
-    before: list[int] = []
-    row = [j if j <= limit else far for j in range(m + 1)]
-    for i in range(1, n + 1):
-        new = [far] * (m + 1)
-        if i <= limit:
-            new[0] = i
-        x = a[i - 1]
-        for j in range(max(1, i - limit), min(m, i + limit) + 1):
-            y = b[j - 1]
-            best = row[j - 1] + (x != y)
-            if row[j] + 1 < best:
-                best = row[j] + 1
-            if new[j - 1] + 1 < best:
-                best = new[j - 1] + 1
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and before[j - 2] + 1 < best:
-                best = before[j - 2] + 1
-            new[j] = best
-        if min(new) > limit:
-            return far
-        before, row = row, new
-    return min(row[m], far)
+    goal, none = m - n, -2
+    reached = {}
+    for d in range(limit + 1):
+        new = {}
+        for k in range(-d, d + 1):
+            if d:
+                one = reached.get(k, none)
+                i = max(one + 1, reached.get(k - 1, none), reached.get(k + 1, none) + 1)
+                if 0 <= one < n - 1 and 0 <= one + k < m - 1 and a[one] == b[one + k + 1] and a[one + 1] == b[one + k]:
+                    i = max(i, one + 2)
+            else:
+                i = 0
+            i = min(i, n, m - k)
+            if i < 0 or i + k < 0:
+                continue
+            while i < n and i + k < m and a[i] == b[i + k]:
+                i += 1
+            new[k] = i
+        if new.get(goal, none) >= n:
+            return d
+        reached = new
+    return limit + 1
 
 
 def piece(n: int) -> int:
@@ -117,13 +125,19 @@ def size_class(n: int) -> int:
     return int(math.log(n) / math.log(1.25))
 
 
+def partner_classes(n: int) -> range:
+    """The size classes of all texts within reach of one of ``n`` units."""
+    return range(size_class(max(1, n - reach(n))), size_class(n + reach(n)) + 1)
+
+
 class WordKeys:
-    """Hashes of all pairs of the D + 2 rarest words of a text; a repeated word counts as several."""
+    """Hashes of what a text must share with any partner: pairs of its D + 2 rarest words, or of its runs of
+    words the first 4 D + 1 by hash; words and runs that repeat count as several. Both with the sizes that they are for."""
 
     def __init__(self, order: dict[str, int]):
         self.order, self.known = order, {}
 
-    def __call__(self, words: list[str]) -> list[int]:
+    def __call__(self, words: list[str], side: str) -> list[int]:
         known = self.known
         if len(known) > 200_000:
             known.clear()
@@ -133,9 +147,16 @@ class WordKeys:
             if r is None:
                 r = known[w] = (self.order.get(w.partition("\t")[0], -1), xxhash.xxh64_intdigest(w))
             ranked.append(r)
-        ranked.sort()
-        few = sorted(h for _, h in ranked[: reach(len(words)) + SHARED])
-        return [(a * 0x9E3779B97F4A7C15 + b) & 0xFFFFFFFFFFFFFFFF for a, b in itertools.combinations(few, 2)]
+        n = len(words)
+        self.mark = _packed(h & 15 for _, h in ranked)
+        out: list[int] = []
+        if n <= LONG + reach(LONG):
+            few = sorted(h for _, h in sorted(ranked)[: reach(n) + SHARED])
+            out = [(a * 0x9E3779B97F4A7C15 + b) & 0xFFFFFFFFFFFFFFFF for a, b in itertools.combinations(few, 2)]
+        if n > LONG:
+            runs = _numbered([" ".join(words[i : i + RUN]) for i in range(n - RUN + 1)])
+            out += sorted(map(xxhash.xxh64_intdigest, runs))[: (RUN + 1) * reach(n) + 1]
+        return [(h + c * 0x9FB21C651E98DF25) & 0xFFFFFFFFFFFFFFFF for c in ((size_class(n),) if side == "train" else partner_classes(n)) for h in out]
 
 
 def _numbered(words: list[str]) -> Iterator[str]:
@@ -145,17 +166,19 @@ def _numbered(words: list[str]) -> Iterator[str]:
         yield f"{w}\t{seen[w]}" if seen[w] > 1 else w
 
 
-def signature(text: str) -> int:
-    """Counts of the characters in sixteen classes, of four bits each. D changes alter them by 2 D at most."""
-    counts = [0] * 16
-    for ch, n in Counter(text).items():
-        counts[(ord(ch) * 0x9E3779B1 >> 13) & 15] += n
+def _packed(classes: Iterable[int]) -> int:
+    """Counts of sixteen classes, of four bits each. D changes alter them by 2 D at most."""
     out = 0
-    for i, n in enumerate(counts):
+    for i, n in Counter(classes).items():
         out |= min(n, 15) << 4 * i
     return out - (1 << 64) if out >> 63 else out
 
 
+def signature(text: str) -> int:
+    """Counts of the characters in sixteen classes."""
+    return _packed((ord(ch) * 0x9E3779B1 >> 13) & 15 for ch in text)
+
+
 def signature_gap(a: Column, b: Column) -> Column:
     """Sum of the differences of two signatures' counts."""
     part = lambda c, i: F.shiftrightunsigned(c, 4 * i).bitwiseAND(F.lit(15))
@@ -190,7 +213,7 @@ def prepare(index: DataFrame, key: str = "audio_id", text: str = "transcript", s
     not spaced), null keys and rows of other splits than train, dev and test are no records here.
     """
     sent = index.sparkSession.sparkContext.broadcast(words)
-    name = str(id(sent))
+    name = f"transcripts {sent._jbroadcast.id()}" if words else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = canonical.worker_vocabulary(sent.value, name)
@@ -248,8 +271,8 @@ def near_classes(texts: DataFrame) -> DataFrame:
                         n, least, mark = len(text), least_met(len(text)), signature(text)
                     else:
                         words = text.split(" ")
-                        hashes += of_words(words)
-                        n, least, mark = len(words), 1, 0
+                        hashes += of_words(words, side)
+                        n, least, mark = len(words), 1, of_words.mark
                     texts.append((c, n * 256 + min(least, 255), mark, len(hashes) - before))
                     if len(hashes) > 200_000:
                         yield _batch(texts, hashes)
@@ -306,42 +329,77 @@ def links(rows: DataFrame) -> DataFrame:
     return exact.unionByName(near_classes(texts).withColumn("kind", F.lit("near")))
 
 
-def overlaps(index: DataFrame, words: list[tuple[str, int]] | None = None, **columns: str) -> DataFrame:
-    """``audio_id_a``, ``audio_id_b`` (the smaller first), ``kind`` of every overlap of train with dev or test.
+def _groups(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of linked classes, and ``found`` by groups of them: the copies of a class in one language on one side.
 
-    Both rows must have the same language; a null language fits any, as texts this close are in one.
-    Where two groups of copies would make more than PAIRS pairs, each row is paired with the first row
-    of the other group only: every row and every link between different texts stays, copies of the
-    same link don't. A row delivered twice counts once. No duplicates; empty tables give no rows.
+    Both groups of a link must have the same language; a null language fits any, as texts this close are in one.
     """
-    rows = prepare(index, words=words, **columns)
-    found = materialize(links(rows), "links")
     linked = found.select(F.col("train_class").alias("class")).union(found.select("held_class")).distinct()
     linked = F.broadcast(linked) if found.count() <= FEW else linked
-    members = rows.join(linked, "class", "left_semi").select("key", "class", "language", F.expr("split = 'train'").alias("train")).distinct()
+    members = rows.join(linked, "class", "left_semi").select("key", "class", "language", "split", F.expr("split = 'train'").alias("train")).distinct()
     members = materialize(members, "members")
-    groups = members.groupBy("class", "language", "train").agg(F.count("*").alias("n"), F.min("key").alias("first"))
-    side = lambda of, name, train: of.filter(F.col("train") if train else ~F.col("train")).select(F.col("class").alias(f"{name}_class"), F.col("language").alias(f"{name}_language"), *(F.col(c).alias(f"{name}_{c}") for c in of.columns if c in ("n", "first", "key")))
+    groups = members.groupBy("class", "language", "train").agg(F.count_distinct("key").alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
+    side = lambda name, train: groups.filter(F.col("train") if train else ~F.col("train")).select(*(F.col(c).alias(f"{name}_{c}") for c in groups.columns if c != "train"))
     fits = F.col("train_language").isNull() | F.col("held_language").isNull() | (F.col("train_language") == F.col("held_language"))
-    pairs = found.join(side(groups, "train", True), "train_class").join(side(groups, "held", False), "held_class").filter(fits).withColumn("all", F.col("train_n") * F.col("held_n") <= PAIRS)
-    trains, helds = side(members, "train", True).withColumnRenamed("train_language", "tl"), side(members, "held", False).withColumnRenamed("held_language", "hl")
-    few = pairs.filter("train_n = 1 and held_n = 1").select(F.col("train_first").alias("x"), F.col("held_first").alias("y"), "kind")
-    more = pairs.filter("train_n > 1 or held_n > 1")
-    every = more.filter("all").join(trains, "train_class").filter(F.expr("tl <=> train_language")).join(helds, "held_class").filter(F.expr("hl <=> held_language")).select(F.col("train_key").alias("x"), F.col("held_key").alias("y"), "kind")
-    star_a = more.filter("not all").join(trains, "train_class").filter(F.expr("tl <=> train_language")).select(F.col("train_key").alias("x"), F.col("held_first").alias("y"), "kind")
-    star_b = more.filter("not all").join(helds, "held_class").filter(F.expr("hl <=> held_language")).select(F.col("train_first").alias("x"), F.col("held_key").alias("y"), "kind")
-    out = few.unionByName(every).unionByName(star_a).unionByName(star_b).filter("x <> y")
+    # One record that is on both sides itself is no overlap.
+    itself = (F.col("train_n") == 1) & (F.col("held_n") == 1) & (F.col("train_first") == F.col("held_first"))
+    return members, found.join(side("train", True), "train_class").join(side("held", False), "held_class").filter(fits & ~itself)
+
+
+def overlaps(index: DataFrame, words: list[tuple[str, int]] | None = None, **columns: str) -> DataFrame:
+    """``audio_id_a``, ``audio_id_b`` (the smaller first), ``kind`` of the overlaps of train with dev or test.
+
+    A link between two groups of copies (the rows of a text and language on one side) is given by its
+    rows: each row of either group with the first row of the other one. Every row that overlaps comes
+    out, and every link between different texts; where one of the groups is a single row, as most are,
+    these are all pairs. The number of rows grows with the groups, not with their product, at any
+    size; `classes` has the links with the number of pairs that they stand for, `members` the rows.
+
+    Both rows must have the same language; a null language fits any. A row delivered twice counts
+    once. No duplicates; empty tables give no rows.
+    """
+    rows = prepare(index, words=words, **columns)
+    members, pairs = _groups(rows, materialize(links(rows), "links"))
+
+    def star(mine: str, other: str) -> DataFrame:
+        of = members.filter("train" if mine == "train" else "not train").select(F.col("key").alias("x"), F.col("class").alias(f"{mine}_class"), F.col("language").alias("own"))
+        met = pairs.select(f"{mine}_class", f"{mine}_language", f"{other}_first", f"{other}_last", "kind").join(of, f"{mine}_class").filter(F.col("own").eqNullSafe(F.col(f"{mine}_language")))
+        return met.select("x", F.when(F.col("x") == F.col(f"{other}_first"), F.col(f"{other}_last")).otherwise(F.col(f"{other}_first")).alias("y"), "kind")
+
+    out = star("train", "held").unionByName(star("held", "train")).filter("x <> y")
     return out.groupBy(F.least("x", "y").alias("audio_id_a"), F.greatest("x", "y").alias("audio_id_b")).agg(F.min("kind").alias("kind"))
 
 
+def classes(index: DataFrame, words: list[tuple[str, int]] | None = None, **columns: str) -> DataFrame:
+    """One row for each link between groups: both classes and languages, ``kind``, rows on both sides and the pairs they make."""
+    _, pairs = _groups(rows := prepare(index, words=words, **columns), materialize(links(rows), "links"))
+    return pairs.select("train_class", "train_language", "held_class", "held_language", "kind", F.col("train_n").alias("train_rows"), F.col("held_n").alias("held_rows"), (F.col("train_n") * F.col("held_n")).alias("pairs"))
+
+
+def members(index: DataFrame, words: list[tuple[str, int]] | None = None, **columns: str) -> DataFrame:
+    """``key``, ``class``, ``language``, ``split``, ``links`` of every record of a linked class; links are those to other groups."""
+    found, pairs = _groups(rows := prepare(index, words=words, **columns), materialize(links(rows), "links"))
+    sides = [pairs.select(F.col(f"{x}_class").alias("class"), F.col(f"{x}_language").alias("language"), F.lit(x == "train").alias("train")) for x in ("train", "held")]
+    counted = sides[0].unionByName(sides[1]).groupBy("class", "language", "train").agg(F.count("*").alias("links"))
+    return _by_group(found, counted).select("key", "class", "language", "split", "links")
+
+
+def _by_group(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their group of class, language and side."""
+    renamed = groups.withColumnsRenamed({c: f"of_{c}" for c in ("class", "language", "train")})
+    on = (F.col("class") == F.col("of_class")) & F.col("language").eqNullSafe(F.col("of_language")) & (F.col("train") == F.col("of_train"))
+    return rows.join(renamed, on, how).drop("of_class", "of_language", "of_train")
+
+
 def overlap_counts(index: DataFrame, words: list[tuple[str, int]] | None = None, **columns: str) -> DataFrame:
     """Per split and source: records, records with the same and with almost the same text on the other side.
 
-    For dev and test the other side is train; for train it is dev and test together. Records are
-    rows; languages are not compared here. ``matched`` counts a record once if it has either kind.
+    For dev and test the other side is train; for train it is dev and test together. Records are rows;
+    languages must fit as in `overlaps`. ``matched`` counts a record once if it has either kind.
     """
     rows = prepare(index, words=words, **columns)
-    found = materialize(links(rows), "links")
-    flags = found.select(F.col("train_class").alias("class"), F.lit(True).alias("train"), "kind").unionByName(found.select(F.col("held_class").alias("class"), F.lit(False).alias("train"), "kind")).groupBy("class", "train").agg(F.max(F.expr("kind = 'exact'")).alias("exact"), F.max(F.expr("kind = 'near'")).alias("near"))
-    marked = rows.withColumn("train", F.expr("split = 'train'")).join(flags, ["class", "train"], "left")
+    _, pairs = _groups(rows, materialize(links(rows), "links"))
+    sides = [pairs.select(F.col(f"{x}_class").alias("class"), F.col(f"{x}_language").alias("language"), F.lit(x == "train").alias("train"), "kind") for x in ("train", "held")]
+    flags = sides[0].unionByName(sides[1]).groupBy("class", "language", "train").agg(F.max(F.expr("kind = 'exact'")).alias("exact"), F.max(F.expr("kind = 'near'")).alias("near"))
+    marked = _by_group(rows.withColumn("train", F.expr("split = 'train'")), flags, "left")
     return marked.groupBy("split", "source").agg(F.count("*").alias("records"), F.count_if("exact").alias("exact"), F.count_if("near").alias("near"), F.count_if(F.coalesce("exact", F.lit(False)) | F.coalesce("near", F.lit(False))).alias("matched"))

@@ -56,6 +56,14 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(table(spark, d, "asr_index_v6_16k"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.classes(table(spark, d, "asr_index_v6_16k"))
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.members(table(spark, d, "asr_index_v6_16k")).withColumnRenamed("key", "audio_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     index = table(spark, d, "asr_index_v6_16k")
     tables = {"predictions": (table(spark, d, "predictions"), "pred_id", ["reference", "hypothesis"]), "asr_index_v6_16k": (index, "audio_id", ["transcript"])}
@@ -100,4 +108,4 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(documents, sentences.fit(documents, table(spark, d, "lang_samples")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_segments, p3_day_percentiles, p3_percentiles, p4_found, p4_counts, p5_found, p5_consistent, p6_found, p6_split, p6_shares, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_segments, p3_day_percentiles, p3_percentiles, p4_found, p4_counts, p4_classes, p4_members, p5_found, p5_consistent, p6_found, p6_split, p6_shares, p7_ids, p8_mix, p8_shares, p9_found)}

@@ -106,12 +106,32 @@ def test_edges(spark):
     assert O.overlaps(spark.createDataFrame(rows, COLUMNS).withColumns({"key": F.lit(1), "class": F.lit(2), "text": F.lit(3), "train": F.lit(4)})).count() == 1
 
 
-def test_large_groups_of_copies(spark, monkeypatch):
-    rows = [(f"t{i:03}", "the very same words again", "x", "train", "s", None) for i in range(30)] + [(f"h{i:03}", "the very same words again", "x", "dev", "s", None) for i in range(20)]
-    assert len(found(spark, rows)) == 600
-    monkeypatch.setattr(O, "PAIRS", 100)
+@pytest.mark.parametrize("n, m", [(1, 3), (2, 2), (30, 20), (31, 20), (101, 100)])
+def test_groups_of_copies_grow_by_rows(spark, n, m):
+    rows = [(f"t{i:03}", "the very same words again", "x", "train", "s", None) for i in range(n)] + [(f"h{i:03}", "the very same words again", "x", "dev", "s", None) for i in range(m)]
     star = found(spark, rows)
-    assert len(star) == 49 and {x for p in star for x in p} == {r[0] for r in rows}
+    assert len(star) == n + m - 1 and {x for p in star for x in p} == {r[0] for r in rows}
+    df = spark.createDataFrame(rows, COLUMNS)
+    assert [(r["train_rows"], r["held_rows"], r["pairs"]) for r in O.classes(df).collect()] == [(n, m, n * m)]
+    got = O.members(df).collect()
+    assert {r["key"] for r in got} == {r[0] for r in rows} and {r["links"] for r in got} == {1}
+
+
+def test_long_texts(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(300)] + ["the", "a", "of"] * 60
+    rows = []
+    for i, n in enumerate([46, 47, 48, 49, 50, 52, 53, 54, 55, 60, 90, 200, 400, 900, 3000]):
+        text = [rng.choice(vocab) for _ in range(n)]
+        for k, times in enumerate((0, n // 20, n // 10, n // 10 + n // 20)):
+            rows.append((f"h{i}-{k}", " ".join(edited(rng, text, vocab, times)), "x", "dev", "s", None))
+        rows.append((f"t{i}", " ".join(text), "x", "train", "s", None))
+    short = [r for r in rows if len(r[1]) < 3000]
+    assert found(spark, short) == brute(short)
+    long = found(spark, rows)
+    assert {(f"h{i}-{k}", f"t{i}") for i in range(15) for k in (0, 1)} <= long
+    keys = O.WordKeys({})
+    assert len(keys([f"w{i}" for i in range(10_000)], "train")) < 6_000
 
 
 def test_counts(spark):
@@ -120,6 +140,13 @@ def test_counts(spark):
     assert got == {("train", "s"): (1, 1, 0, 1), ("dev", "s"): (1, 1, 0, 1), ("dev", "q"): (1, 0, 0, 0)}
 
 
+def test_counts_and_pairs_agree_on_languages(spark):
+    rows = [("t", "nobody saw the old farmer near the river", "sw", "train", "s", None), ("a", "Nobody saw the old farmer near the river", "am", "dev", "s", None)]
+    assert found(spark, rows) == set()
+    assert {r["matched"] for r in O.overlap_counts(spark.createDataFrame(rows, COLUMNS)).collect()} == {0}
+    assert O.classes(spark.createDataFrame(rows, COLUMNS)).count() == 0
+
+
 @pytest.mark.parametrize("n", [9, 10, 18, 19, 27, 90])
 def test_reach(n):
     assert O.reach(n) == max(m // 10 for m in range(n, 3 * n) if m - n <= m // 10)

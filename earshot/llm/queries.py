@@ -13,7 +13,8 @@ from earshot.runtime import table
 
 def _truncation(spark: SparkSession, d: str) -> DataFrame:
     predictions = table(spark, d, "predictions")
-    return truncation.scores(predictions, truncation.fit(predictions))
+    limits = truncation.known_limits(predictions)
+    return truncation.scores(predictions, truncation.fit(predictions, limits), limits)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,10 @@ Intact values of a bounded sample are cut at random places, and finished the way
 (dots, a lone blank, half a character, half an entity): these are the positives. The same values
 whole, some with the same finishes, are the negatives. Features are the closing characters and words,
 the closing punctuation, and the length against what it could be: the other text of the same
-utterance, in which the last words are looked up to see how much follows. Every value is scored.
+utterance, in which the last words are looked up to see how much follows, and the limit of the field.
+A field of a source has a limit where values of many utterances have one length and few have those
+beside it, counted over all values. Every value is scored, and the share of cut values, which sets
+the threshold, is estimated from all scores.
 """
 
 from __future__ import annotations
@@ -18,15 +21,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from earshot.llm.canonical import canonical
-from earshot.runtime import spread
+from earshot.runtime import materialize, spread
 
 #: Rows in the training sample (at most), slots of the hashed weights, passes over the sample.
 SAMPLE, SLOTS, PASSES = 12_000, 1 << 18, 10
 #: Features that occur less often in training are left out.
 LEAST = 8
+#: A length is a limit if it has MORE times the values of lengths up to NEAR away, on average, and so many deviations more.
+NEAR, MORE, DEVIATIONS = 6, 2.0, 6.0
+#: How often artificial cuts and whole values of the training sample stand at a limit.
+AT_LIMIT = (0.4, 0.004)
+#: Limits, at most, that are broadcast; their number is counted first.
+FEW = 100_000
 #: Value and other field are compared over so many units before the end.
 CONTEXT = 4
 _word = re.compile(r"[^\W_]+(?:[^\W_]|[̀-ͯ]|[ऀ-ःऺ-ॏ]|[‌‍'’])*")
@@ -92,7 +102,8 @@ def _step(n: int) -> str:
     return str(n) if n < 4 else "4" if n < 8 else "8"
 
 
-def features(own: tuple, other: tuple | None) -> list[str]:
+def features(own: tuple, other: tuple | None, limit: bool = False) -> list[str]:
+    """What the classifier sees of a parsed value, the other text of the utterance, and whether its length is its field's limit."""
     kind, mark, words, dense = own
     last = words[-1] if words else ""
     d = "d" if dense else "w"
@@ -104,6 +115,8 @@ def features(own: tuple, other: tuple | None) -> list[str]:
         out.append(f"p{words[-2]}")
     if mark:
         out.append(f"mk{mark}{kind}")
+    if limit:
+        out += ["limit", f"limit{kind}", f"limit{bool(mark)}"]
     if other is None:
         return [*out, "alone", f"alone{kind}{bool(mark)}", f"alone l{last}"]
     met, after = _follow(words, other[2], dense)
@@ -182,38 +195,47 @@ class Classifier:
             total += w
         return total + self.shift
 
-    def set_prior(self, scores: np.ndarray) -> None:
+    def set_prior(self, scores: np.ndarray, times: np.ndarray | None = None) -> None:
         """Moves the threshold from balanced training classes to the share of positives in ``scores``."""
+        if not len(scores):
+            return
         share = 0.05
         for _ in range(100):
             odds = np.log(share / (1 - share))
-            new = float(np.clip((1 / (1 + np.exp(-np.clip(scores + odds, -30, 30)))).mean(), 1e-4, 0.9))
+            new = float(np.clip(np.average(1 / (1 + np.exp(-np.clip(scores + odds, -30, 30))), weights=times), 1e-4, 0.9))
             if abs(new - share) < 1e-7:
                 break
             share = new
         self.shift = float(np.log(share / (1 - share)))
 
 
-def train(rows: list[tuple[str | None, str | None]], seed: int = 7) -> Classifier:
-    """A classifier from ``(hypothesis, reference)`` rows, most of which are whole."""
+def train(rows: list[tuple], seed: int = 7) -> Classifier:
+    """A classifier from ``(hypothesis, reference)`` rows, most of which are whole.
+
+    Which of their lengths are limits may follow in each row. Artificial cuts stand at a limit as often
+    as AT_LIMIT says, for real limits depend on the source.
+    """
     rng = random.Random(seed)
     natural, negatives, positives = [], [], []
     for pair in rows:
-        parsed = [parse(x) for x in pair]
+        parsed = [parse(x) for x in pair[:2]]
+        limits = pair[2:] or (False, False)
         for i in (0, 1):
             text, other = pair[i], parsed[1 - i]
             if parsed[i] is None:
                 continue
-            natural.append(features(parsed[i], other))
+            natural.append(features(parsed[i], other, limits[i]))
+            if limits[i]:  # most of these are cut already
+                continue
             short = cut(text, rng)
             if short is None or parse(short) is None:
                 continue
             # Sometimes the other text is taken away, as where decoding failed.
             seen = None if rng.random() < 0.08 else other
-            positives.append(features(parse(short), seen))
+            positives.append(features(parse(short), seen, rng.random() < AT_LIMIT[0]))
             finish = rng.choice(FINISHES)
             whole = parsed[i] if not finish or finish[0] in "&\\�" or parsed[i][0] else parse(text + finish)
-            negatives.append(features(whole, seen))
+            negatives.append(features(whole, seen, rng.random() < AT_LIMIT[1]))
     model = Classifier()
     if not positives:
         model.shift = -30.0
@@ -231,40 +253,83 @@ def train(rows: list[tuple[str | None, str | None]], seed: int = 7) -> Classifie
     return model
 
 
-def fit(df: DataFrame, key: str = "pred_id", hypothesis: str = "hypothesis", reference: str = "reference", sample: int = SAMPLE) -> Classifier:
-    """Trains on at most ``sample`` rows, chosen by a hash of the key."""
-    n = df.count()
-    share = max(1, n // sample)
-    rows = df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(share)) == 0).select(hypothesis, reference).limit(2 * sample).collect()
-    return train(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] or "", r[1] or ""))[: 2 * sample])
+def limits(df: DataFrame, hypothesis: str = "hypothesis", reference: str = "reference", group: str = "dataset") -> DataFrame:
+    """``grp``, ``field``, ``size``, ``n`` (different utterances with a value of this length), ``near`` (those beside it, on average) of every limit.
+
+    All values are counted; different utterances, as one that is transcribed over and over is no sign of a limit.
+    """
+    fields = F.explode(F.array(*(F.struct(F.lit(i).alias("field"), F.length(F.col(c).cast("string")).alias("size"), F.xxhash64(F.coalesce(F.col(reference), F.col(c)).cast("string")).alias("h")) for i, c in enumerate((hypothesis, reference)))))
+    values = df.select(F.col(group).cast("string").alias("grp"), fields.alias("x")).select("grp", "x.*").filter("size > 0")
+    counted = values.groupBy("grp", "field", "size").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    beside = W.partitionBy("grp", "field").orderBy("size").rangeBetween(-NEAR, NEAR)
+    near = counted.withColumn("near", (F.sum("n").over(beside) - F.col("n")) / (2 * NEAR))
+    return near.filter((F.col("n") > MORE * F.col("near")) & (F.col("n") - F.col("near") > DEVIATIONS * F.sqrt(F.col("near") + 1)))
+
+
+def _with_limits(df: DataFrame, found: DataFrame, hypothesis: str, reference: str, group: str) -> DataFrame:
+    """``df`` with ``at_h`` and ``at_r``: whether the value's length is the limit of its field in its source."""
+    sizes = found.groupBy("grp").agg(*(F.collect_set(F.when(F.col("field") == i, F.col("size"))).alias(f"sizes_{i}") for i in (0, 1))).withColumnRenamed("grp", "limits_of")
+    near = df.join(sizes, F.col("grp").eqNullSafe(F.col("limits_of")), "left")
+    at = [F.coalesce(F.array_contains(f"sizes_{i}", F.length(c)), F.lit(False)).alias(n) for i, (c, n) in enumerate((("h", "at_h"), ("r", "at_r")))]
+    return near.select(*df.columns, *at)
 
 
-def scores(df: DataFrame, model: Classifier, key: str = "pred_id", hypothesis: str = "hypothesis", reference: str = "reference", group: str = "dataset") -> DataFrame:
+def _rows(df: DataFrame, found: DataFrame, key: str, hypothesis: str, reference: str, group: str) -> DataFrame:
+    rows = df.select(F.col(key).alias("key"), F.col(group).cast("string").alias("grp"), F.col(hypothesis).cast("string").alias("h"), F.col(reference).cast("string").alias("r"))
+    return _with_limits(rows, found, hypothesis, reference, group)
+
+
+def known_limits(df: DataFrame, **columns: str) -> DataFrame:
+    """The limits, worked out once; broadcast when joined if they are few."""
+    found = materialize(limits(df, **columns), "limits")
+    return F.broadcast(found) if found.count() <= FEW else found
+
+
+def fit(df: DataFrame, found: DataFrame | None = None, key: str = "pred_id", hypothesis: str = "hypothesis", reference: str = "reference", group: str = "dataset", sample: int = SAMPLE) -> Classifier:
+    """Trains on the ``sample`` first rows in the order of a hash of the key. ``found``: the known limits."""
+    if group not in df.columns:
+        df, group = df.withColumn("__group", F.lit(None).cast("string")), "__group"
+    found = limits(df, hypothesis, reference, group) if found is None else found
+    rows = spread(df.select(key, hypothesis, reference, group).orderBy(F.xxhash64(F.lit(5), F.col(key)), hypothesis, reference).limit(sample))
+    rows = _rows(rows, found, key, hypothesis, reference, group).select("h", "r", "at_h", "at_r").collect()
+    return train(sorted((tuple(r) for r in rows), key=lambda r: (r[0] or "", r[1] or "")))
+
+
+def scores(df: DataFrame, model: Classifier, found: DataFrame | None = None, key: str = "pred_id", hypothesis: str = "hypothesis", reference: str = "reference", group: str = "dataset") -> DataFrame:
     """``key``, ``field``, ``group``, ``score``, ``cut`` of every value that isn't null, empty or blank.
 
-    ``score`` is the log-odds that the value lost its end; ``cut`` is whether they favour it. A value
-    without a counterpart is judged by its closing alone. Rows that repeat are scored again.
+    ``score`` is the log-odds that the value lost its end; ``cut`` is whether they favour it. The share
+    of cut values that both suppose is estimated from the scores of all values, which are written to
+    the shared folder first. A value without a counterpart is judged by its closing and its length
+    alone. Rows that repeat are scored again.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     kind = df.schema[key].dataType.simpleString()
+    found = limits(df, hypothesis, reference, group) if found is None else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         fields = (hypothesis, reference)
         for batch in batches:
             at, names, values = [], [], []
-            for i, texts in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                parsed = [parse(t) for t in texts]
+            for i, (h, r, *full) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)):
+                parsed = [parse(h), parse(r)]
                 for f in (0, 1):
                     if parsed[f] is not None:
                         at.append(i)
                         names.append(fields[f])
-                        values.append(model.score(features(parsed[f], parsed[1 - f])))
+                        values.append(model.score(features(parsed[f], parsed[1 - f], full[f])))
             index = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), pa.array(names, pa.string()), batch.column(1).take(index), pa.array(values, pa.float64()), pa.array([v > 0 for v in values], pa.bool_())], ["key", "field", "grp", "score", "cut"])
-
-    rows = spread(df).select(F.col(key).alias("key"), F.col(group).cast("string").alias("grp"), F.col(hypothesis).cast("string").alias("h"), F.col(reference).cast("string").alias("r"))
-    return rows.mapInArrow(run, f"key {kind}, field string, grp string, score double, cut boolean").withColumnsRenamed({"key": key, "grp": group})
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), pa.array(names, pa.string()), batch.column(1).take(index), pa.array(values, pa.float64())], ["key", "field", "grp", "score"])
+
+    rows = spread(_rows(df, found, key, hypothesis, reference, group))
+    raw = materialize(rows.mapInArrow(run, f"key {kind}, field string, grp string, score double"), "scores")
+    # Scores in steps of a twentieth, at most some thousands of them.
+    steps = raw.groupBy(F.round(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), "score")) * 20).cast("int").alias("step")).count().collect()
+    prior = Classifier()
+    prior.set_prior(np.array([r["step"] / 20 for r in steps]) - model.shift, np.array([r["count"] for r in steps], dtype=float))
+    score = F.col("score") + F.lit(prior.shift - model.shift)
+    return raw.withColumn("score", score).withColumn("cut", F.col("score") > 0).withColumnsRenamed({"key": key, "grp": group})
 
 
 def rates(scored: DataFrame, group: str = "dataset") -> DataFrame:

@@ -69,6 +69,27 @@ def test_sample_is_bounded(spark, rows):
     assert X.fit(df, sample=100).weights.any()
 
 
+def test_cuts_at_the_limit_of_a_field(spark, rows):
+    """Values of one source are cut at exactly 60 characters; without another text only their length tells."""
+    data = [(i, h, r, "b") for i, (h, r) in enumerate(rows[:1500])]
+    n = 0
+    for i, (h, r) in enumerate(rows[1500:5000]):
+        short = h and r and len(h) > 70 and i % 4 == 0 and h[:60].strip() == h[:60] and h[59].isalpha() and h[60].isalpha()
+        data.append((10_000 + i, h[:60] if short else h, None if short else r, "a"))
+        n += bool(short)
+    df = spark.createDataFrame(data, "pred_id bigint, hypothesis string, reference string, dataset string")
+    found = X.known_limits(df)
+    assert ("a", 0, 60) in {(r["grp"], r["field"], r["size"]) for r in found.collect()}
+    got = {r["pred_id"] for r in X.scores(df, X.fit(df, found), found).filter("cut and field = 'hypothesis'").collect()}
+    planted = {x[0] for x in data if x[3] == "a" and x[2] is None and x[1] and len(x[1]) == 60 and x[0] >= 10_000}
+    assert n > 50 and len(got & planted) / len(planted) > 0.95
+
+
+def test_no_limits(spark):
+    df = spark.createDataFrame([(i, "x" * (10 + i % 40) + str(i), None, None) for i in range(400)], "pred_id bigint, hypothesis string, reference string, dataset string")
+    assert X.limits(df).count() == 0 and X.limits(df.limit(0)).count() == 0
+
+
 def test_parse():
     assert X.parse(None) is None and X.parse(" ") is None
     assert X.parse("Abc def…")[0] == "…" and X.parse("Abc def -")[0] == "-s" and X.parse("Abc &quo")[0] == "entity" and X.parse("Abc ")[0] == "blank" and X.parse("Abc\xa0")[0] == "other blank"

@@ -1,11 +1,12 @@
 """One consistent form for text that looks the same.
 
 The consistent form of a value is canonically composed (NFC) and has ordinary letters, digits,
-hyphens and blanks, nothing invisible, and in every token only letters of the token's script. Most of
-it is a rule for single characters. Look-alike letters need a decision: a token that mixes scripts,
-or stands in a text of another script, is first looked up in a vocabulary. A weighted edit automaton
-walks the vocabulary's trie; reading a look-alike, or skipping an ignorable, costs nothing. Of the
-words reached at no cost the most frequent one is the spelling. Other tokens follow the table.
+hyphens and blanks, nothing invisible, and in every token only letters of the token's script. A token
+with a character that could be coded otherwise (invisible, of another width or style, of another
+script than its neighbours or its text) is first looked up in a vocabulary. A weighted edit automaton
+walks the vocabulary's trie; reading a look-alike, or another form of a letter, or skipping an
+ignorable, costs nothing. Of the words reached at no cost the most frequent one is the spelling.
+Tokens that reach none, blanks and marks follow the table, character by character.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earshot.runtime import materialize
+
 # Pairs of letters that look alike, foreign letter first, Latin letter second.
 CYRILLIC = "аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ҺH ԚQ ԜW"
 GREEK = "αa οo ρp νv ιi υu κk ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX"
@@ -124,6 +127,8 @@ class Vocabulary:
     def __init__(self, words: dict[str, int]):
         self.root: dict = {}
         for word, count in words.items():
+            if any(plain(ch) != ch or ignorable(ch) for ch in word):
+                continue
             node = self.root
             for ch in word:
                 node = node.setdefault(ch, {})
@@ -132,8 +137,9 @@ class Vocabulary:
     def lookup(self, token: str, budget: int = 0) -> tuple[str, int] | None:
         """The spelling of least cost up to ``budget``, then of highest count, then first by text.
 
-        Costs: 0 for the same character, a look-alike, or a skipped ignorable; 1 for any other
-        exchange, a dropped or an added character.
+        Costs: 0 for the same character, a look-alike, an ordinary form, or a skipped ignorable; 1 for
+        any other exchange, a dropped or an added character. Spellings are chosen at no cost only: a
+        misspelt word is another word.
         """
         states = self._added({"": (self.root, 0)}, budget)
         for ch in token:
@@ -143,12 +149,17 @@ class Vocabulary:
                 if cost <= budget and nxt.get(word, (None, budget + 1))[1] > cost:
                     nxt[word] = (node, cost)
 
-            similar = [ch, *(x for options in ALIKE.get(ch, {}).values() for x in options)]
+            similar = {ch, plain(ch), *(x for options in ALIKE.get(ch, {}).values() for x in options)}
             for word, (node, cost) in states.items():
                 put(word, node, cost + (not ignorable(ch)))
                 for x in similar:
-                    if x in node:
-                        put(word + x, node[x], cost)
+                    to = node
+                    for part in x:  # some forms stand for several letters
+                        to = to.get(part)
+                        if to is None:
+                            break
+                    else:
+                        put(word + x, to, cost)
                 if cost < budget:
                     for x, child in node.items():
                         if x and x not in similar:
@@ -234,11 +245,34 @@ def _mixed(token: str, have: Counter, firm: set, main: str, vocabulary: Vocabula
     return _spelling(token, target, vocabulary)
 
 
+_words = regex.compile("[\\p{L}\\p{M}\\p{Cf}\u034f\u115f\u1160\u3164\uffa0\u17b4\u17b5\u180b-\u180e\ufe00-\ufe0f\U000e0100-\U000e01ef]+")
+
+
+def _spelt(text: str, vocabulary: Vocabulary) -> str:
+    """``text`` with the tokens that hold invisible or unusual forms of letters spelt as in the vocabulary, where it has them."""
+
+    def spell(m) -> str:
+        token = m[0]
+        if not _any_ignorable(token) and not _any_plain(token):
+            return token
+        if any(c in "\u200c\u200d" and _needed(token, i) for i, c in enumerate(token)):
+            return token
+        found = vocabulary.lookup(token.lower())
+        ordinary = "".join(plain(c) for c in token if not ignorable(c))
+        if not found or len(found[0]) != len(ordinary):
+            return token
+        return "".join(x.upper() if t.isupper() and len(x.upper()) == 1 else x for t, x in zip(ordinary, found[0], strict=True))
+
+    return _words.sub(spell, text)
+
+
 def canonical(text: str | None, vocabulary: Vocabulary | None = None) -> str | None:
     """The consistent form; null stays null. Applying it again changes nothing."""
     if text is None or _safe(text):
         return text
     new = U.normalize("NFC", text)
+    if vocabulary is not None and (_any_ignorable(new) or _any_plain(new)):
+        new = U.normalize("NFC", _spelt(new, vocabulary))
     if _any_ignorable(new):
         new = "".join(c for i, c in enumerate(new) if not ignorable(c) or (c in "\u200c\u200d" and _needed(new, i)))
         new = U.normalize("NFC", new)
@@ -270,7 +304,7 @@ def vocabulary_words(texts: DataFrame, text: str, share: float = 1 / 20_000) ->
     are counted. Words that mix scripts with look-alikes are no spellings and are left out.
     """
     word = F.explode(F.split(F.translate(F.lower(F.col(text)), "'’ʼ", ""), r"[^\p{L}\p{M}\p{N}]+")).alias("word")
-    counted = texts.select(word).filter("word <> ''").groupBy("word").count()
+    counted = materialize(texts.select(word).filter("word <> ''").groupBy("word").count(), "words")
     total = counted.agg(F.sum("count")).first()[0] or 0
     least = max(2, int(total * share))
     one_script = F.col("word").rlike(r"^(?:[\p{IsLatin}\p{M}'’-]+|[\p{IsCyrillic}\p{M}-]+|[\p{IsGreek}\p{M}-]+|[^\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]+)$")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ SWITCH, RUN = 9.0, 4
 DOUBT = 4.0
 #: Words remembered by a worker, and words that are looked up together.
 MEMO, BLOCK = 150_000, 20_000
-MOST_LANGUAGES = 62
+MOST_LANGUAGES, MOST_NAMES = 62, 10_000
 _words = re.compile(r"[^\W\d_]+(?:[^\W\d_]|[̀-ͯ]|[ऀ-ःऺ-ॏ̀-ͯٔัิ-ฺ็-๎゙‌‍'’])*")
 _unspaced = re.compile(r"[฀-๿]+|[぀-ヿ㐀-鿿豈-﫿]+")
 _tag = re.compile(r"\[[^\]]*\]|<[^>]*>|\{[^}]*\}")
@@ -244,12 +245,9 @@ class Reader:
         return out
 
     def _parts(self, text: str, clean: str, words: list[tuple[int, int, str]], scores: np.ndarray, best: int) -> list[tuple[int, int, int, float]]:
-        same = clean == text
         sums = np.cumsum(scores - scores[:, best : best + 1], axis=0)
         runs = self._path(scores) if self._changes(sums) else [(0, len(words), best)]
-        # Where the text had to be changed first, places in it are only known in proportion.
-        scale = 1.0 if same else len(text) / max(1, len(clean))
-        cuts = [0, *(round(words[a][0] * scale) for a, _, _ in runs[1:]), len(text)]
+        cuts = [0, *(words[a][0] if clean == text else _place(text, words[a][0]) for a, _, _ in runs[1:]), len(text)]
         return [(s, e, language, _confidence(scores[a:b].sum(axis=0), language)) for s, e, (a, b, language) in zip(cuts, cuts[1:], runs, strict=False)]
 
     @staticmethod
@@ -298,14 +296,22 @@ class Reader:
         return [tuple(r) for r in runs]
 
 
+def _place(text: str, at: int) -> int:
+    """The first place in ``text`` before which the consistent form has ``at`` characters."""
+    return bisect_left(range(len(text) + 1), at, key=lambda i: len(canonical(text[:i])))
+
+
 def _confidence(odds: np.ndarray, language: int) -> float:
     return float(1 / np.exp(np.minimum(odds - odds[language], 50)).sum())
 
 
 def notations(languages: DataFrame) -> dict[str, str]:
-    """Every way to write a language -> its code; a fixed, small table."""
+    """Every way to write a language -> its code; a small table, of MOST_NAMES rows or it is an error."""
     out: dict[str, str] = {}
-    for r in languages.select("code", "name", "iso639_3", "iso639_1").limit(10_000).collect():
+    rows = languages.select("code", "name", "iso639_3", "iso639_1").limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} languages")
+    for r in rows:
         for x in (r["iso639_1"], r["iso639_3"], r["name"], r["code"]):
             if x and x.strip():
                 out[_label(x)] = r["code"]
@@ -317,10 +323,10 @@ def _label(text: str) -> str:
 
 
 def fit(samples: DataFrame, language: str = "language", text: str = "text") -> Filters:
-    """Filters from rightly labelled texts, at most SAMPLES of each language, first by text."""
+    """Filters from rightly labelled texts, at most SAMPLES of each language, the first in the order of a hash."""
     from pyspark.sql import Window as W
 
-    rank = F.row_number().over(W.partitionBy(language).orderBy(text))
+    rank = F.row_number().over(W.partitionBy(language).orderBy(F.xxhash64(text), text))
     rows = samples.filter(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("l"), F.col(text).alias("t"), rank.alias("r")).filter(F.col("r") <= SAMPLES).orderBy("l", "r").collect()
     return train([(r["l"], r["t"]) for r in rows])
 

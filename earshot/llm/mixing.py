@@ -6,8 +6,8 @@ rest is an inclusion probability. Records are ranked by the odds of a random num
 that probability (Pareto order sampling), and taken in this order until the source's share of the
 budget is reached, which gives a sample of fixed size, in tokens, with unequal probabilities.
 
-The order is never sorted as a whole: ranks fall into narrow buckets, sums of buckets find the one
-where the budget ends, and only the records of that bucket are ordered.
+The order is never sorted as a whole: ranks fall into buckets, sums of buckets find the one where the
+budget ends, its buckets are summed in turn, and only the records of the last one are ordered.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from earshot.llm import bpe
 from earshot.runtime import materialize, spread
 
-#: Buckets of ln(rank) for each source, and buckets for each doubling of the size.
-RANK_BUCKETS, SIZE_STEPS = 4096, 64
-#: Most sources a mix may name; their sums are collected and broadcast.
+#: Buckets of ln(rank) for each source, buckets of each of these, and steps for each doubling of the size.
+RANK_BUCKETS, FINE, SIZE_STEPS = 4096, 4096, 16
+#: Most sources a mix may name, or an error is raised; at most SIZE_STEPS * 63 sums a source are collected.
 MAX_SOURCES = 2000
 
 
@@ -80,6 +80,11 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None, power
 _PLAN = "source string, share double, cap int, have bigint, n bigint, need double, rate double"
 
 
+def _end(sums: DataFrame, bucket: str, budget: Column) -> DataFrame:
+    """``source``, ``last`` and ``rest``: the bucket where the budget ends, and what is left of it there. One row a source."""
+    return sums.filter(F.col("until") > budget).groupBy("source").agg(F.min(F.struct(F.col(bucket).alias("last"), (budget - (F.col("until") - F.col("size"))).alias("rest"))).alias("end")).select("source", "end.last", "end.rest")
+
+
 def choose(sizes: DataFrame, planned: list[dict], power: float = 0.5, seed: int = 42) -> DataFrame:
     """``key``, ``source``, ``tokens``, ``copies`` (1 or more) of every record that is used."""
     spark = sizes.sparkSession
@@ -88,18 +93,23 @@ def choose(sizes: DataFrame, planned: list[dict], power: float = 0.5, seed: int
     rows = (
         sizes.filter("tokens > 0").join(per_source, "source").withColumn("expected", expected).withColumn("whole", F.floor("expected").cast("int")).withColumn("p", F.col("expected") - F.col("whole")).withColumn("u", _uniform(F.col("key"), seed))
         .withColumn("rank", F.when(F.col("p") > 0, F.log(F.col("u") / (1 - F.col("u"))) - F.log(F.col("p") / (1 - F.col("p")))))
-        .withColumn("bucket", F.when(F.col("rank").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(RANK_BUCKETS - 1), F.floor((F.col("rank") + 40) * F.lit(RANK_BUCKETS / 80.0)).cast("int")))))
+        .withColumn("fine", F.when(F.col("rank").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(RANK_BUCKETS * FINE - 1), F.floor((F.col("rank") + 40) * F.lit(RANK_BUCKETS * FINE / 80.0)).cast("int")))))
+        .withColumn("bucket", F.floor(F.col("fine") / FINE).cast("int"))
         .drop("expected", "p", "u", "rate")
     )
     sums = rows.groupBy("source", "bucket").agg(F.sum(F.col("whole") * F.col("tokens")).alias("certain"), F.sum("tokens").alias("size"), F.first("need").alias("need"))
     by_source = W.partitionBy("source")
     sums = sums.withColumn("left", F.col("need") - F.sum("certain").over(by_source)).filter("bucket is not null").withColumn("until", F.sum("size").over(by_source.orderBy("bucket")))
-    # At most MAX_SOURCES * RANK_BUCKETS rows; of these only the one row a source where the budget ends is kept.
-    ends = sums.filter("until > left").groupBy("source").agg(F.min(F.struct("bucket", F.expr("left - (until - size)").alias("rest"))).alias("end")).select("source", F.col("end.bucket").alias("last"), F.col("end.rest").alias("rest"))
-    rows = rows.join(F.broadcast(ends), "source", "left")
-    clear = rows.withColumn("extra", F.when(F.col("bucket").isNotNull() & (F.col("last").isNull() | (F.col("bucket") < F.col("last"))), 1).otherwise(0)).filter("bucket is null or last is null or bucket <> last")
+    ends = _end(sums, "bucket", F.col("left"))
+    edge = rows.join(F.broadcast(ends), "source").filter("bucket = last")
+    within = edge.groupBy("source", "fine").agg(F.sum("tokens").alias("size"), F.first("rest").alias("rest")).withColumn("until", F.sum("size").over(by_source.orderBy("fine")))
+    last = ends.select("source", F.col("last").alias("last_bucket")).join(_end(within, "fine", F.col("rest")), "source", "left")
+    # The sums may end in the last of the smaller buckets; then all of the bucket is taken.
+    rows = rows.join(F.broadcast(last), "source", "left")
+    before = F.col("bucket").isNotNull() & (F.col("last_bucket").isNull() | (F.col("bucket") < F.col("last_bucket")) | ((F.col("bucket") == F.col("last_bucket")) & (F.col("last").isNull() | (F.col("fine") < F.col("last")))))
+    clear = rows.withColumn("extra", F.when(before, 1).otherwise(0)).filter("fine is null or last is null or fine <> last")
     in_order = W.partitionBy("source").orderBy("rank", "key")
-    edge = rows.filter("bucket = last").withColumn("before", F.sum("tokens").over(in_order) - F.col("tokens")).withColumn("extra", F.expr("case when before + tokens / 2 <= rest then 1 else 0 end"))
+    edge = rows.filter("fine = last").withColumn("before", F.sum("tokens").over(in_order) - F.col("tokens")).withColumn("extra", F.expr("case when before + tokens / 2 <= rest then 1 else 0 end"))
     columns = ["key", "source", "tokens", (F.col("whole") + F.col("extra")).alias("copies")]
     return clear.select(*columns).unionByName(edge.select(*columns)).filter("copies > 0")
 

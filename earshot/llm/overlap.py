@@ -247,6 +247,7 @@ def _texts(rows: DataFrame) -> DataFrame:
 def _frequent(texts: DataFrame) -> list[tuple[str, int]]:
     """Words of all spaced texts that make up at least the share FREQUENT; 1 / FREQUENT of them can, at most."""
     counted = texts.filter("not unspaced").select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").count()
+    counted = materialize(counted, "words")
     total = counted.agg(F.sum("count")).first()[0] or 0
     return [(r["word"], r["count"]) for r in counted.filter(F.col("count") >= max(2, total * FREQUENT)).collect()]
 

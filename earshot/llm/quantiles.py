@@ -4,7 +4,8 @@ A sketch holds sorted buffers of SIZE values. A buffer of level l stands for SIZ
 buffers of one level are merged, and every second value, starting at the first and the second place
 in turn, makes a buffer of the next level: a binary tree of collapses. Each collapse of two buffers
 of weight w moves no rank by more than w; the sketch adds these up, so its error bound is a fact about
-its own history. Nothing is random. Sketches of partitions or days merge in the same way.
+its own history. Nothing is random. Sketches of partitions or days merge in the same way, and in a fixed
+order, so that the same partitions of a table give the same percentiles whichever task ends first.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import types as T
 SIZE = 4096
 #: Values that a task holds before it hands on its sketches; partitions of the first merge for each group.
 HELD, SALTS = 2_000_000, 32
+#: Percentiles, at most, that are broadcast; their number is counted first.
+FEW = 100_000
 PERCENTILES = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
@@ -98,8 +101,7 @@ class Sketch:
 _STATE = "n bigint, error bigint, levels array<int>, values array<double>"
 
 
-def _out(held: dict, keys: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    items = list(held.items())
+def _out(items: list[tuple], keys: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(items), 500):
         rows = [dict(zip(keys, key, strict=True)) | sketch.row() for key, sketch in items[at : at + 500]]
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -112,18 +114,22 @@ def _arrow(schema: str) -> pa.Schema:
 
 
 def sketches(df: DataFrame, group: str, day: str, metrics: list[str], size: int = SIZE) -> DataFrame:
-    """Partial sketches: ``metric``, ``grp``, ``day``, ``salt`` and the state, several for each key.
+    """Partial sketches: ``metric``, ``grp``, ``day``, ``salt``, ``part`` and the state, several for each key.
+
+    ``part`` numbers what one partition hands on, and gives merges their order.
 
     Values that are null, NaN, infinite or negative (sentinels) are no scores and are left out. A
     null group and a null day are groups of their own.
     """
-    schema = f"metric string, grp string, day date, salt int, {_STATE}"
+    schema = f"metric string, grp string, day date, salt int, part bigint, {_STATE}"
+    keys = ["metric", "grp", "day", "salt", "part"]
     out = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        salt = TaskContext.get().partitionId() % SALTS
+        number = TaskContext.get().partitionId()
+        salt, part_no = number % SALTS, number << 32
         held: dict = {}
         stored = 0
         for batch in batches:
@@ -139,39 +145,51 @@ def sketches(df: DataFrame, group: str, day: str, metrics: list[str], size: int
                     values = batch.column(2 + i).to_numpy(zero_copy_only=False)[part]
                     values = values[np.isfinite(values) & (values >= 0)]
                     if len(values):
-                        sketch = held.setdefault((metric, *key, salt), Sketch(size))
+                        sketch = held.setdefault((metric, *key, salt, part_no), Sketch(size))
                         stored -= sketch.stored()
                         sketch.add(values)
                         stored += sketch.stored()
             if stored > HELD:
-                yield from _out(held, ["metric", "grp", "day", "salt"], out)
-                held, stored = {}, 0
-        yield from _out(held, ["metric", "grp", "day", "salt"], out)
+                yield from _out(list(held.items()), keys, out)
+                held, stored, part_no = {}, 0, part_no + 1
+        yield from _out(list(held.items()), keys, out)
 
     values = df.select(F.col(group).cast("string"), F.col(day).cast("date"), *(F.col(m).cast("double") for m in metrics))
     return values.mapInArrow(run, schema)
 
 
-def merged(states: DataFrame, keys: list[str], size: int = SIZE) -> DataFrame:
-    """One sketch for each combination of ``keys``; rows stream in, so a task holds results only."""
+def merged(states: DataFrame, keys: list[str], order: str, size: int = SIZE) -> DataFrame:
+    """One sketch for each combination of ``keys``, merged in the order of ``order``.
+
+    Rows come sorted, so a task holds the sketch of one combination, and what it has not yet handed on.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in states.schema.fields}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {_STATE}"
     out = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        done: list[tuple] = []
+        last, sketch = None, None
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(len(keys))]
             n, error, levels, values = (batch.column(len(keys) + i) for i in range(4))
             for i, key in enumerate(zip(*columns, strict=True)):
                 other = Sketch.of(n[i].as_py(), error[i].as_py(), levels[i].as_py(), values[i].values.to_numpy(zero_copy_only=False).copy(), size)
-                if key in held:
-                    held[key].merge(other)
-                else:
-                    held[key] = other
-        yield from _out(held, keys, out)
-
-    return states.select(*keys, "n", "error", "levels", "values").repartition(*keys).mapInArrow(run, schema)
+                if sketch is not None and key == last:
+                    sketch.merge(other)
+                    continue
+                if sketch is not None:
+                    done.append((last, sketch))
+                    if len(done) >= 200:
+                        yield from _out(done, keys, out)
+                        done = []
+                last, sketch = key, other
+        if sketch is not None:
+            done.append((last, sketch))
+        yield from _out(done, keys, out)
+
+    rows = states.repartition(*keys).sortWithinPartitions(*keys, order)
+    return rows.select(*keys, "n", "error", "levels", "values").mapInArrow(run, schema)
 
 
 def percentiles(states: DataFrame, keys: list[str], shares: tuple[float, ...] = PERCENTILES, size: int = SIZE) -> DataFrame:
@@ -194,11 +212,24 @@ def percentiles(states: DataFrame, keys: list[str], shares: tuple[float, ...] =
 
 def by_day(df: DataFrame, group: str, day: str, metrics: list[str], size: int = SIZE) -> DataFrame:
     """One sketch for each metric, group and day: the partial results that later days are combined with."""
-    salted = merged(sketches(df, group, day, metrics, size), ["metric", "grp", "day", "salt"], size)
-    return merged(salted, ["metric", "grp", "day"], size)
+    salted = merged(sketches(df, group, day, metrics, size), ["metric", "grp", "day", "salt"], "part", size)
+    return merged(salted, ["metric", "grp", "day"], "salt", size)
 
 
 def over_days(states: DataFrame, size: int = SIZE) -> DataFrame:
     """The sketches of all days of a metric and group as one."""
     salted = states.withColumn("salt", F.pmod(F.xxhash64("day"), F.lit(SALTS)).cast("int"))
-    return merged(merged(salted, ["metric", "grp", "salt"], size), ["metric", "grp"], size)
+    return merged(merged(salted, ["metric", "grp", "salt"], "day", size), ["metric", "grp"], "salt", size)
+
+
+def ranks(df: DataFrame, found: DataFrame, group: str, metrics: list[str]) -> DataFrame:
+    """The percentiles ``found`` for metric and group with their place among all values: how many are smaller, and not larger.
+
+    A value of rank r with bound e must have ``smaller`` < r + e n and ``not_larger`` >= r - e n. The
+    percentiles are few and are broadcast if they are; every value is compared with those of its group.
+    """
+    values = df.select(F.col(group).cast("string").alias("of_grp"), F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.col(m).cast("double").alias("x")) for m in metrics))).alias("v")).select("of_grp", "v.*")
+    values = values.filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != float("inf")) & (F.col("x") >= 0)).groupBy("of_grp", "m", "x").count()
+    hint = F.broadcast if found.count() <= FEW else lambda x: x
+    met = values.join(hint(found), (F.col("m") == F.col("metric")) & F.col("of_grp").eqNullSafe(F.col("grp")))
+    return met.groupBy("metric", "grp", "percentile", "value", "n", "rank_error").agg(F.sum(F.when(F.col("x") < F.col("value"), F.col("count")).otherwise(0)).alias("smaller"), F.sum(F.when(F.col("x") <= F.col("value"), F.col("count")).otherwise(0)).alias("not_larger"))

@@ -64,9 +64,9 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None, power
     step = F.floor(F.log2("tokens") * SIZE_STEPS).cast("int")
     bins: dict[str, list] = {}
     names = [r["source"] for r in rows]
-    for b in sizes.filter(F.col("source").isin(names) & (F.col("tokens") > 0)).groupBy("source", step.alias("step")).agg(F.count("*").alias("n"), F.sum("tokens").alias("total")).collect() if names else []:
+    for b in sizes.filter(F.col("source").isin(names) & (F.col("tokens") > 0)).groupBy("source", step.alias("step")).agg(F.count("*").alias("n"), F.sum("tokens").alias("total"), F.max("tokens").cast("bigint").alias("longest")).collect() if names else []:
         bins.setdefault(b["source"], []).append(b)
-    out = [{"source": r["source"], "share": r["share"], "cap": r["cap"], "have": sum(b["total"] for b in bins.get(r["source"], [])), "n": sum(b["n"] for b in bins.get(r["source"], []))} for r in rows]
+    out = [{"source": r["source"], "share": r["share"], "cap": r["cap"], "have": sum(b["total"] for b in bins.get(r["source"], [])), "n": sum(b["n"] for b in bins.get(r["source"], [])), "longest": max((b["longest"] for b in bins.get(r["source"], [])), default=0)} for r in rows]
     spread = sum(r["share"] for r in out if r["have"])
     if total is None:
         total = min((r["have"] * r["cap"] * spread / r["share"] for r in out if r["have"]), default=0.0)
@@ -77,7 +77,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total: float | None = None, power
     return out
 
 
-_PLAN = "source string, share double, cap int, have bigint, n bigint, need double, rate double"
+_PLAN = "source string, share double, cap int, have bigint, n bigint, longest bigint, need double, rate double"
 
 
 def _end(sums: DataFrame, bucket: str, budget: Column) -> DataFrame:
@@ -127,11 +127,11 @@ def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "s
 
 
 def shares(df: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", total: float | None = None, power: float = 0.5, seed: int = 42, path: str | None = None) -> DataFrame:
-    """Per target: wanted and actual share, tokens there are, wanted and used, records and copies used."""
+    """Per target: wanted and actual share, tokens there are, wanted and used, records, the longest one, records and copies used."""
     sizes = sized(df, key, source, text, path)
     planned = plan(sizes, targets, total, power)
     used = choose(sizes, planned, power, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("used_records"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"))
     rows = df.sparkSession.createDataFrame([tuple(r.values()) for r in planned], _PLAN).join(used, "source", "left").na.fill(0, ["used_tokens", "used_records", "copies", "most_copies"])
     everything = W.partitionBy()  # at most MAX_SOURCES rows
     actual = F.col("used_tokens") / F.nullif(F.sum("used_tokens").over(everything), F.lit(0))
-    return rows.select("source", F.col("share").alias("target_share"), F.coalesce(actual, F.lit(0.0)).alias("actual_share"), F.col("have").alias("tokens"), F.col("need").alias("wanted_tokens"), "used_tokens", F.col("n").alias("records"), "used_records", "copies", F.col("cap").alias("max_repeats"), "most_copies")
+    return rows.select("source", F.col("share").alias("target_share"), F.coalesce(actual, F.lit(0.0)).alias("actual_share"), F.col("have").alias("tokens"), F.col("need").alias("wanted_tokens"), "used_tokens", F.col("n").alias("records"), "longest", "used_records", "copies", F.col("cap").alias("max_repeats"), "most_copies")

@@ -90,3 +90,11 @@ def test_limits(spark):
         L.Filters([str(i) for i in range(70)])
     df = spark.createDataFrame([("a", f"text {i}") for i in range(30)] + [("b", None), (None, "x")], "language string, text string")
     assert L.fit(df).languages == ["a"]
+
+
+def test_places_in_texts_that_change():
+    text = "ab​c déf ﬁn ｗord end"
+    form = L.canonical(text)
+    for word in form.split():
+        at = form.index(word)
+        assert L.canonical(text[: L._place(text, at)]) == form[:at]

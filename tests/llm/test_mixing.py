@@ -69,3 +69,14 @@ def test_short_sources_say_so(spark):
     docs = spark.createDataFrame([(i, "word " * 20, "a" if i < 3 else "b") for i in range(40)], "doc_id bigint, text string, source string")
     s = {r["source"]: r for r in mixing.shares(docs, spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], TARGETS), total=1000.0).collect()}
     assert s["a"]["copies"] == 6 and s["a"]["actual_share"] < 0.25
+
+
+@pytest.mark.parametrize("buckets, fine", [(1, 1), (2, 3), (4096, 1), (7, 64), (4096, 4096)])
+def test_buckets_of_any_width_take_the_same(spark, monkeypatch, buckets, fine):
+    sizes = spark.range(900).select(F.col("id").alias("key"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), (F.col("id") % 37 + 1).cast("int").alias("tokens"))
+    targets = spark.createDataFrame([("a", 0.4, 2), ("b", 0.6, 1)], TARGETS)
+    planned = mixing.plan(sizes, targets, total=5000.0)
+    want = {(r["key"], r["copies"]) for r in mixing.choose(sizes, planned).collect()}
+    monkeypatch.setattr(mixing, "RANK_BUCKETS", buckets)
+    monkeypatch.setattr(mixing, "FINE", fine)
+    assert {(r["key"], r["copies"]) for r in mixing.choose(sizes, planned).collect()} == want

@@ -125,3 +125,45 @@ def test_report(spark, data):
     df, t = spark.read.parquet(f"{data}/asr_index_v6_16k.parquet"), spark.read.parquet(f"{data}/split_targets.parquet")
     rows = {r["new_split"]: r for r in S.report(df, t).collect()}
     assert sum(r["rows"] for r in rows.values()) == df.count()
+
+
+def test_merges_have_an_order(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{i % 3}", float(x)) for i, x in enumerate(rng.lognormal(size=6000))]
+    df = spark.createDataFrame(rows, "grp string, x double").withColumn("day", F.lit("2024-01-01").cast("date")).repartition(7)
+    states = Q.sketches(df, "grp", "day", ["x"], size=32).persist()
+    got = []
+    for seed in (1, 2):  # blocks arrive in another order
+        shuffled = states.orderBy(F.rand(seed))
+        got.append(sorted(map(tuple, Q.percentiles(Q.merged(shuffled, ["metric", "grp"], "part", 32), ["metric", "grp"], size=32).collect())))
+    assert got[0] == got[1] and all(r[-1] > 0 for r in got[0])
+
+
+def test_linked_keys(spark):
+    rows = [("a", "s1", "e1"), ("b", "s1", "e2"), ("c", "s2", "e2"), ("d", "s3", None), ("e", None, "e3"), ("f", None, None), ("g", None, None), ("h", "s9", "e1")]
+    rows += [(f"r{i}", f"c{i}", f"d{i}") for i in range(40)] + [(f"q{i}", f"c{i + 1}", f"d{i}") for i in range(39)]  # a chain
+    df = spark.createDataFrame([(*r, "train") for r in rows], "audio_id string, s string, e string, split string")
+    owners = [F.col("s"), F.col("e")]
+    got = {}
+    for r in S._keyed(df, "audio_id", owners, "split").collect():
+        got.setdefault(r["component"], set()).add(r["key"])
+    assert sorted(map(len, got.values())) == [1, 1, 1, 1, 4, 79]
+    assert {"a", "b", "c", "h"} in got.values()
+    targets = spark.createDataFrame([("train", 0.8), ("dev", 0.1), ("test", 0.1)], "split string, share double")
+    new = {r["audio_id"]: r["new_split"] for r in S.resplit(df, targets, owner=owners).collect()}
+    assert len(new) == len(rows) and all(len({new[k] for k in keys}) == 1 for keys in got.values())
+    assert S._keyed(df.limit(0), "audio_id", owners, "split").count() == 0
+
+
+@pytest.mark.parametrize("most", [10_000, 12, 4])
+def test_bundles_are_bounded(spark, monkeypatch, most):
+    monkeypatch.setattr(S, "BUNDLES", most)
+    monkeypatch.setattr(S, "LARGE", 1 / 3)
+    rng = np.random.default_rng(3)
+    rows = [(f"a{i}-{j}", f"s{i}", str(rng.choice(["train", "dev", "test"]))) for i in range(60) for j in range(int(rng.integers(1, 70)))]
+    df = spark.createDataFrame(rows, "audio_id string, speaker_id string, split string")
+    targets = spark.createDataFrame([("train", 0.8), ("dev", 0.1), ("test", 0.1)], "split string, share double")
+    got = S.resplit(df, targets).collect()
+    assert len(got) == len(rows) and len({(r["owner"], r["new_split"]) for r in got}) == 60
+    share = sum(r["new_split"] == "train" for r in got) / len(got)
+    assert abs(share - 0.8) < (0.02 if most > 60 else 0.1)

@@ -41,7 +41,8 @@ def test_query(spark, data, name):
             con.execute(f"create view {p.stem} as select * from read_parquet('{p}')")
         assert _table(df.toPandas()) == _table(con.sql(SQL[name]).df())
     else:
-        assert df.limit(1).count() <= 1
+        rows = df.count()
+        assert rows > 0 and len(set(df.columns)) == len(df.columns)
 
 
 def test_scratch_is_the_clusters(spark):

@@ -61,8 +61,9 @@ def recognition(languages: DataFrame) -> DataFrame:
 def translation(languages: DataFrame) -> DataFrame:
     """``backbone``, ``source_lang``, ``target_lang`` of every pair that a family can translate."""
     from earshot.operators.joins import all_pairs
+    from earshot.runtime import small
 
-    c = F.broadcast(codes(languages))
+    c = small(codes(languages))
     pairs = all_pairs(languages)
     side = lambda name: c.select(F.col("code").alias(f"{name}_lang"), F.col("whisper").alias(f"{name}_whisper"), F.col("nllb").alias(f"{name}_nllb"), F.col("seamless").alias(f"{name}_seamless"), F.col("tuned").alias(f"{name}_tuned"))
     joined = pairs.join(side("source"), "source_lang").join(side("target"), "target_lang")

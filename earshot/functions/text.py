@@ -166,6 +166,19 @@ def cell_of_path(path: Column) -> Column:
     return F.struct(F.element_at(F.split(path, "/"), -3).alias("dataset"), F.nullif(F.regexp_extract(stem, "^(.*)_asr_(.*)$", 1), F.lit("")).alias("model"), F.nullif(F.regexp_extract(stem, "^(.*)_asr_(.*)$", 2), F.lit("")).alias("language"))
 
 
+def translation_cell_of_path(path: Column, languages: list[str]) -> Column:
+    """Struct of dataset, model, source and target language of ``.../<dataset>/predictions/<model>_ast_<source>_<target>.csv``.
+
+    Codes may hold underscores themselves, so the tail is split where both parts are known ``languages``.
+    """
+    stem = F.regexp_extract(path, r"([^/]+)\.[^./]*$", 1)
+    tail = F.regexp_extract(stem, "^(.*)_ast_(.*)$", 2)
+    codes = "|".join(sorted(languages, key=lambda c: (-len(c), c)))
+    pair = f"^({codes})_({codes})$"
+    part = lambda i: F.nullif(F.regexp_extract(tail, pair, i), F.lit(""))
+    return F.struct(F.element_at(F.split(path, "/"), -3).alias("dataset"), F.nullif(F.regexp_extract(stem, "^(.*)_ast_(.*)$", 1), F.lit("")).alias("model"), part(1).alias("source_lang"), part(2).alias("target_lang"))
+
+
 def is_recognition_file(path: Column) -> Column:
     """Whether a predictions file holds recognition output: its stem has ``_asr_`` and none of the translation words."""
     stem = F.regexp_extract(path, r"([^/]+)\.[^./]*$", 1)

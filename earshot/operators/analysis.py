@@ -11,7 +11,8 @@ from earshot.functions import text as X
 from earshot.functions import unicode as U
 from earshot.operators.groups import join_groups
 from earshot.operators.scoring import CELL, per_utterance, rate, utterances
-from earshot.runtime import materialize, spread
+from earshot.operators.taxonomy import typology
+from earshot.runtime import materialize, small, spread
 
 # Thresholds of the pathology labels and of the proxies.
 LOOP_RATIO, LOOP_REPEATS, LOOP_N, SHORT_RATIO = 3.0, 0.5, 5, 0.5
@@ -82,17 +83,20 @@ def outliers(rows: DataFrame, by: tuple[str, ...] = CELL) -> DataFrame:
 def sweep(predictions: DataFrame, by: tuple[str, ...] = CELL) -> DataFrame:
     """WER and CER of every cell under each normalisation scheme, with the step from the scheme before.
 
-    One scan: each row becomes one row for each scheme before it is reduced. A cell without any
-    reference under a scheme has rate 0 there, as a defined value.
+    One scan: each row becomes one row for each different form of its texts before it is reduced, and
+    says under which schemes it has that form, for most rows have few. A cell without any reference
+    under a scheme has rate 0 there, as a defined value.
     """
-    forms = [F.struct(F.lit(i).alias("scheme_idx"), F.lit(name).alias("scheme"), X.normalize(F.col("reference"), **kw).alias("nref"), X.normalize(F.col("hypothesis"), **kw).alias("nhyp")) for i, (name, kw) in enumerate(X.SCHEMES)]
-    long = spread(predictions.select(*by, "reference", "hypothesis")).select(*by, F.explode(F.array(*forms)).alias("x")).select(*by, "x.*")
-    long = long.withColumns({"r": X.words(F.col("nref")), "h": X.words(F.col("nhyp"))})
-    used = F.trim("nref") != ""
-    sums = long.groupBy(*by, "scheme_idx", "scheme").agg(
-        F.sum(F.when(used, E.word_distance(F.col("r"), F.col("h")))).alias("we"), F.sum(F.when(used, F.size("r"))).alias("wu"),
-        F.sum(F.when(used, E.char_distance(F.col("nref"), F.col("nhyp")))).alias("ce"), F.sum(F.when(used, F.length("nref"))).alias("cu"),
-    )
+    forms = F.array(*(F.struct(X.normalize(F.col("reference"), **kw).alias("nref"), X.normalize(F.col("hypothesis"), **kw).alias("nhyp")) for _, kw in X.SCHEMES))
+    kept = spread(predictions.select(*by, "reference", "hypothesis")).select(*by, forms.alias("forms"))
+    long = kept.select(*by, "forms", F.explode(F.array_distinct("forms")).alias("x")).withColumn("schemes", F.transform("forms", lambda f: f.eqNullSafe(F.col("x")))).select(*by, "schemes", "x.*")
+    long = long.filter(F.trim("nref") != "").withColumns({"r": X.words(F.col("nref")), "h": X.words(F.col("nhyp"))})
+    long = long.select(*by, "schemes", E.word_distance(F.col("r"), F.col("h")).alias("we"), F.size("r").alias("wu"), E.char_distance(F.col("nref"), F.col("nhyp")).alias("ce"), F.length("nref").alias("cu"))
+    # What the schemes share is counted for each of them, in one aggregation.
+    part = [F.sum(F.when(F.get("schemes", F.lit(i)), F.col(c))).alias(f"{c}{i}") for i in range(len(X.SCHEMES)) for c in ("we", "wu", "ce", "cu")]
+    wide = join_groups(kept.select(*by).distinct(), long.groupBy(*by).agg(*part), by, "left")
+    one = [F.struct(F.lit(i).alias("scheme_idx"), F.lit(name).alias("scheme"), *(F.col(f"{c}{i}").alias(c) for c in ("we", "wu", "ce", "cu"))) for i, (name, _) in enumerate(X.SCHEMES)]
+    sums = wide.select(*by, F.explode(F.array(*one)).alias("x")).select(*by, "x.*")
     zero = F.lit(0.0)
     rates = sums.select(*by, "scheme_idx", "scheme", F.coalesce(100 * F.col("we") / F.col("wu"), zero).alias("wer"), F.coalesce(100 * F.col("ce") / F.col("cu"), zero).alias("cer"))
     before = F.lag("wer").over(W.partitionBy(*by).orderBy("scheme_idx"))
@@ -131,23 +135,47 @@ def proxies(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"ns_errors": E.char_distance(F.col("ref_ns"), F.col("hyp_ns")), "ns_chars": F.length("ref_ns"), "seg_dominated": (F.col("cer") < SEG_CER) & (F.col("wer") > SEG_WER), "boundary_exact": (F.col("ref_ns") == F.col("hyp_ns")) & (F.col("nref") != F.col("nhyp"))})
 
 
-def diagnostics(rows: DataFrame, models: DataFrame | None = None, by: tuple[str, ...] = CELL) -> DataFrame:
-    """The whole diagnostic record of every cell, in one aggregation."""
+def diagnostics(rows: DataFrame, models: DataFrame | None = None, by: tuple[str, ...] = CELL, languages: DataFrame | None = None) -> DataFrame:
+    """The whole diagnostic record of every cell; with ``languages`` name, typology and script of its language, too."""
     rows = proxies(tier_a(rows))
     bare_ref, bare_hyp = X.words(U.strip_diacritics(F.col("nref"))), X.words(U.strip_diacritics(F.col("nhyp")))
-    rows = rows.withColumns({"aligned": E.alignment(F.col("ref_words"), F.col("hyp_words")), "bare_ref": bare_ref, "bare_hyp": bare_hyp})
+    rows = rows.withColumns({"aligned": E.operation_counts(F.col("ref_words"), F.col("hyp_words")), "bare_ref": bare_ref, "bare_hyp": bare_hyp})
+    rows = rows.withColumn("bare_errors", E.word_distance(F.col("bare_ref"), F.col("bare_hyp")))
+    rows = materialize(rows.select(*by, "word_errors", "n_ref", "char_errors", "n_chars", "ns_errors", "ns_chars", "len_ratio", "aligned", "tier_a", "seg_dominated", "boundary_exact", "bare_errors", F.size("bare_ref").alias("n_bare")), "diagnosed")
     share = lambda cond: 100 * F.count_if(cond) / F.count("*")
     part = lambda kind: 100 * F.sum(f"aligned.{kind}") / F.sum("n_ref")
     out = rows.groupBy(*by).agg(
         F.count("*").alias("n"), rate("word_errors", "n_ref").alias("wer"), rate("char_errors", "n_chars").alias("cer"), rate("ns_errors", "ns_chars").alias("scer"),
-        F.avg("len_ratio").alias("len_ratio_mean"), F.percentile("len_ratio", 0.5).alias("len_ratio_median"), part("substitutions").alias("sub_pct"), part("deletions").alias("del_pct"), part("insertions").alias("ins_pct"),
+        F.avg("len_ratio").alias("len_ratio_mean"), part("substitutions").alias("sub_pct"), part("deletions").alias("del_pct"), part("insertions").alias("ins_pct"),
         *(share(F.col("tier_a") == label).alias(f"pct_{label}") for label in ("A1_script", "A2_loop", "A3_truncation")), share(F.col("tier_a") == "CLEAN").alias("pct_clean"),
-        share(F.col("seg_dominated")).alias("pct_seg_dominated"), share(F.col("boundary_exact")).alias("pct_boundary_exact"), rate(E.word_distance(F.col("bare_ref"), F.col("bare_hyp")), F.size("bare_ref")).alias("wer_nodiacritic"),
+        share(F.col("seg_dominated")).alias("pct_seg_dominated"), share(F.col("boundary_exact")).alias("pct_boundary_exact"), rate("bare_errors", "n_bare").alias("wer_nodiacritic"),
     )
+    out = join_groups(out, percentiles_of(rows, by, "len_ratio", {"len_ratio_median": 0.5}), by)
     out = out.withColumns({"wer_cer_ratio": F.when(F.col("cer") > 0, F.col("wer") / F.col("cer")), "wer_diacritic_recovered": F.col("wer") - F.col("wer_nodiacritic")})
     if models is not None:
         out = with_models(out, models)
-    return out
+    return out if languages is None else with_language(out, languages)
+
+
+def percentiles_of(rows: DataFrame, by: tuple[str, ...], column: str, shares: dict[str, float]) -> DataFrame:
+    """Linear percentiles of every group, counted on its values and their frequencies; nulls are left out.
+
+    Values are summed up before they meet, and no group is held in memory.
+    """
+    values = rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("times"))
+    ranked = values.withColumns({"until": F.sum("times").over(W.partitionBy(*by).orderBy(column)), "n": F.sum("times").over(W.partitionBy(*by))})
+    at = lambda r: F.min(F.when(F.col("until") > r, F.col(column)))
+    low = {name: F.floor(F.lit(q) * (F.col("n") - 1)) for name, q in shares.items()}
+    found = ranked.groupBy(*by).agg(F.first("n").alias("n"), *(x for name, q in shares.items() for x in (at(low[name]).alias(f"{name}_low"), at(F.ceil(F.lit(q) * (F.col("n") - 1))).alias(f"{name}_high"))))
+    part = lambda name, q: F.lit(q) * (F.col("n") - 1) - low[name]
+    return found.select(*by, *((F.col(f"{name}_low") + part(name, q) * (F.col(f"{name}_high") - F.col(f"{name}_low"))).alias(name) for name, q in shares.items()))
+
+
+def with_language(rows: DataFrame, languages: DataFrame, column: str = "language") -> DataFrame:
+    """Adds each language's name (its code where unknown), typology and script."""
+    info = small(languages.select(F.col("code").alias(column), F.col("name").alias("lang_name"), F.col("script").alias("ortho")))
+    out = rows.join(info, column, "left")
+    return out.withColumns({"lang_name": F.coalesce("lang_name", column), "typology": typology(F.col(column))})
 
 
 def with_models(rows: DataFrame, models: DataFrame) -> DataFrame:
@@ -172,8 +200,8 @@ def sample_per_cell(rows: DataFrame, k: int, seed: int, by: tuple[str, ...] = CE
 
 
 def priority(rows: DataFrame, cells: DataFrame, models: DataFrame) -> DataFrame:
-    """Rows of the chosen cells (dataset, language) and models; both lists are small and broadcast."""
-    return rows.join(F.broadcast(cells.select("dataset", "language").distinct().limit(100_000)), ["dataset", "language"], "left_semi").join(F.broadcast(models.select("model").distinct().limit(100_000)), "model", "left_semi")
+    """Rows of the chosen cells (dataset, language) and models; lists are broadcast if they are small."""
+    return rows.join(small(cells.select("dataset", "language").distinct()), ["dataset", "language"], "left_semi").join(small(models.select("model").distinct()), "model", "left_semi")
 
 
 def judge_rows(rows: DataFrame) -> DataFrame:

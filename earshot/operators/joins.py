@@ -33,7 +33,8 @@ def id_overlap(left: DataFrame, right: DataFrame, key: str, least: float = 0.5)
 
 def payload_check(manifest: DataFrame, payload: DataFrame, key: str, text: str) -> DataFrame:
     """Manifest rows that have no payload row, or one with another text: ``key``, ``problem``."""
-    joined = manifest.select(key, F.col(text).alias("expected")).join(payload.select(key, F.col(text).alias("found"), F.lit(True).alias("there")).dropDuplicates([key]), key, "left")
+    first = payload.groupBy(key).agg(F.min(text).alias("found"), F.lit(True).alias("there"))  # of several the first by text
+    joined = manifest.select(key, F.col(text).alias("expected")).join(first, key, "left")
     problem = F.when(F.col("there").isNull(), "missing").when(~F.col("expected").eqNullSafe(F.col("found")), "text differs")
     return joined.withColumn("problem", problem).filter("problem is not null").select(key, "problem")
 
@@ -51,6 +52,27 @@ def merge_shards(shards: DataFrame, manifest: DataFrame, key: str, shard_column:
     return out.crossJoin(shards.agg(F.count_distinct(shard_column).alias("n_shards"))).withColumn("ok", (F.col("n_shards") == n_shards) & (F.col("n_repeated") + F.col("n_missing") + F.col("n_unknown") == 0))
 
 
+def merged_shards(shards: DataFrame, manifest: DataFrame, key: str, order: str, shard_column: str, n_shards: int, run_info: DataFrame | None = None, same: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of all shards as an unsharded run would have written them, in the order of the manifest.
+
+    It is an error if a shard, an id of the manifest or its only row is missing, if ids repeat or are
+    unknown, or if the shards' ``run_info`` (one row each) differ in a column of ``same``.
+    """
+    if run_info is not None:
+        differ = [c for c in same if run_info.select(c).distinct().limit(2).count() > 1]
+        if differ:
+            raise ValueError(f"shards disagree on {differ}")
+    state = merge_shards(shards, manifest, key, shard_column, n_shards).first()
+    if not state["ok"]:
+        raise ValueError(f"shards don't merge: {state.asDict()}")
+    return shards.drop(shard_column).join(manifest.select(key, order), key).orderBy(order)
+
+
+def merged_times(shards: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Per group of shards' records: seconds in all and of the slowest shard, seconds of audio, shards."""
+    return shards.groupBy(*by).agg(F.sum("seconds").alias("seconds"), F.max("seconds").alias("wall_seconds_max_shard"), F.sum("audio_seconds").alias("audio_seconds"), F.count("*").alias("n_shards"))
+
+
 def remaining(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``todo`` whose keys aren't in ``done``; the way to resume."""
     return todo.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions import text as X
 from earshot.functions import unicode as U
+from earshot.operators.analysis import percentiles_of
 from earshot.operators.groups import join_groups
 
 GROUP = ("source", "language", "split")
@@ -68,9 +69,10 @@ def audit(rows: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
 def percentiles(rows: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
     """Linear percentiles of durations and of characters a second per group."""
     rows = issues(rows)
-    d = [F.percentile("duration", q).alias(f"dur_{n}") for n, q in (("min", 0.0), ("p5", 0.05), ("median", 0.5), ("p95", 0.95), ("max", 1.0))]
-    c = [F.percentile("cps", q).alias(f"cps_{n}") for n, q in (("p1", 0.01), ("median", 0.5), ("p99", 0.99))]
-    return rows.groupBy(*by).agg(*d, *c)
+    out = rows.select(*by).distinct()
+    for column, shares in (("duration", {"dur_min": 0.0, "dur_p5": 0.05, "dur_median": 0.5, "dur_p95": 0.95, "dur_max": 1.0}), ("cps", {"cps_p1": 0.01, "cps_median": 0.5, "cps_p99": 0.99})):
+        out = join_groups(out, percentiles_of(rows, by, column, shares), by, "left")
+    return out
 
 
 def examples(rows: DataFrame, limit: int = 3) -> DataFrame:

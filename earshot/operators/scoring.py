@@ -12,13 +12,15 @@ from earshot.functions import editdist as E
 from earshot.functions import text as X
 from earshot.functions import unicode as U
 from earshot.operators.groups import join_groups
-from earshot.runtime import spread
+from earshot.runtime import materialize, spread
 
 #: A cell is one run of one model on one language of one dataset.
 CELL = ("experiment", "dataset", "model", "language")
 #: Largest share of failed utterances, resamples and seed of the bootstrap, groups that are flagged as small.
 MAX_FAILED, RESAMPLES, SEED, SMALL = 0.002, 1000, 0, 300
-#: Cells up to so many utterances are resampled by position, as by index; larger ones by their counts.
+#: Languages whose rates are also given without marks, and those with a normaliser of their own.
+MARKED, ENGLISH = ("yo_ng", "ig_ng", "ar_eg", "ha_ng"), ("en_us",)
+#: Utterances of a cell, at most, that are resampled by position.
 EXACT_ROWS = 50_000
 
 
@@ -113,46 +115,87 @@ def resample_counts(errors: np.ndarray, units: np.ndarray, counts: np.ndarray, r
     return 100.0 * (draws @ errors) / (draws @ units)
 
 
-def bootstrap(rows: DataFrame, by: tuple[str, ...] = CELL, order: str = "pred_id", resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """WER and CER of every cell with 95 % percentile intervals.
+def intervals(rows: DataFrame, metrics: dict[str, tuple[str, str]], by: tuple[str, ...] = CELL, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """Rates of every cell with 95 % percentile intervals. ``metrics``: name -> columns of errors and units.
 
-    Small cells are resampled by position in the order of ``order``, which gives the same numbers in
-    every run. A ratio of sums depends only on how often each pair of errors and units occurs, so of
-    large cells only these counts, which are few, come together in one task.
+    A ratio of sums depends only on how often each pair of errors and units occurs, so of any cell only
+    these counts, which are few, come together in one task, and resampling its rows is drawing these
+    counts anew. Rows in which a metric is null are left out of it.
     """
-    counted = rows.groupBy(*by).agg(F.count("*").alias("cell_n"))
-    sized = join_groups(rows.select(*by, order, "word_errors", "n_ref", "char_errors", "n_chars"), counted, by)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
-    schema = f"{kinds}, n bigint, wer double, wer_ci_low double, wer_ci_high double, cer double, cer_ci_low double, cer_ci_high double"
+    schema = f"{kinds}, " + ", ".join(f"{m} double, {m}_ci_low double, {m}_ci_high double" for m in metrics)
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(e).cast("bigint").alias("errors"), F.col(u).cast("bigint").alias("units")) for m, (e, u) in metrics.items()))).alias("x")
+    counted = rows.select(*by, each).select(*by, "x.*").filter("errors is not null").groupBy(*by, "metric", "errors", "units").agg(F.count("*").alias("times"))
 
-    def record(key: tuple, n: int, pairs: dict) -> pd.DataFrame:
-        out = dict(zip(by, key, strict=True)) | {"n": n}
-        for name, (e, u, samples) in pairs.items():
-            low, high = np.percentile(samples, [2.5, 97.5])
-            out |= {name: 100.0 * e / u, f"{name}_ci_low": low, f"{name}_ci_high": high}
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        out = dict(zip(by, key, strict=True))
+        for m in metrics:
+            p = part[part["metric"] == m].sort_values(["errors", "units"])
+            rate = low = high = None
+            errors, units, times = (p[c].to_numpy(dtype=np.int64) for c in ("errors", "units", "times"))
+            if len(p) and units @ times:
+                rate = 100.0 * int(errors @ times) / int(units @ times)
+                low, high = np.percentile(resample_counts(errors, units, times, resamples, seed), [2.5, 97.5])
+            out |= {m: rate, f"{m}_ci_low": low, f"{m}_ci_high": high}
         return pd.DataFrame([out])
 
-    def exact(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    return counted.groupBy(*by).applyInPandas(run, schema)
+
+
+def bootstrap(rows: DataFrame, by: tuple[str, ...] = CELL, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """Utterances, WER and CER of every cell with 95 % percentile intervals."""
+    found = intervals(rows, {"wer": ("word_errors", "n_ref"), "cer": ("char_errors", "n_chars")}, by, resamples, seed)
+    return join_groups(found, rows.groupBy(*by).agg(F.count("*").alias("n")), by)
+
+
+def bootstrap_positions(rows: DataFrame, by: tuple[str, ...] = CELL, order: str = "pred_id", resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """The same by resampling positions in the order of ``order``: the very numbers of a scorer that draws indices.
+
+    A cell comes into one task for this, so more than EXACT_ROWS utterances in one are an error.
+    """
+    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest > EXACT_ROWS:
+        raise ValueError(f"a cell has {largest} utterances; positions are drawn for up to {EXACT_ROWS}, counts for any number")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable")
-        pairs = {}
+        out = dict(zip(by, key, strict=True)) | {"n": len(part)}
         for name, e, u in (("wer", "word_errors", "n_ref"), ("cer", "char_errors", "n_chars")):
             errors, units = part[e].to_numpy(dtype=np.int64), part[u].to_numpy(dtype=np.int64)
-            pairs[name] = (errors.sum(), units.sum(), resample(errors, units, resamples, seed))
-        return record(key, len(part), pairs)
+            low, high = np.percentile(resample(errors, units, resamples, seed), [2.5, 97.5])
+            out |= {name: 100.0 * errors.sum() / units.sum(), f"{name}_ci_low": low, f"{name}_ci_high": high}
+        return pd.DataFrame([out])
 
-    def counted_part(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        pairs = {}
-        for name in ("wer", "cer"):
-            p = part[part["metric"] == name].sort_values(["errors", "units"])
-            errors, units, times = (p[c].to_numpy(dtype=np.int64) for c in ("errors", "units", "times"))
-            pairs[name] = (int(errors @ times), int(units @ times), resample_counts(errors, units, times, resamples, seed))
-            n = int(times.sum())
-        return record(key, n, pairs)
-
-    small = sized.filter(F.col("cell_n") <= EXACT_ROWS).drop("cell_n").groupBy(*by).applyInPandas(exact, schema)
-    metric = F.explode(F.array(F.struct(F.lit("wer").alias("metric"), F.col("word_errors").alias("errors"), F.col("n_ref").alias("units")), F.struct(F.lit("cer").alias("metric"), F.col("char_errors").alias("errors"), F.col("n_chars").alias("units")))).alias("x")
-    large = sized.filter(F.col("cell_n") > EXACT_ROWS).select(*by, metric).select(*by, "x.*").groupBy(*by, "metric", "errors", "units").agg(F.count("*").alias("times"))
-    return small.unionByName(large.groupBy(*by).applyInPandas(counted_part, schema))
+    return rows.select(*by, order, "word_errors", "n_ref", "char_errors", "n_chars").groupBy(*by).applyInPandas(run, f"{kinds}, n bigint, wer double, wer_ci_low double, wer_ci_high double, cer double, cer_ci_low double, cer_ci_high double")
+
+
+def strict_record(predictions: DataFrame, by: tuple[str, ...] = CELL, language: str = "language", resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """One whole record for each cell: counts, status, reason, units, and rates with intervals where the status is ok.
+
+    ``wer_plain`` and ``cer_plain`` are given for English, whose headline normaliser isn't published, so
+    that both are by the policy; ``wer_nomarks`` and ``cer_nomarks``, of texts without nonspacing marks,
+    for languages that write tones or vowels with them. A cell in which a reference is empty without
+    its marks is aborted, too.
+    """
+    rows = strict_utterances(predictions, by)
+    marked, english = F.col(language).isin(*MARKED), F.col(language).isin(*ENGLISH)
+    bare_r, bare_h = U.strip_marks(F.col("nref")), U.strip_marks(F.col("nhyp"))
+    rows = rows.withColumns({"bare_r": F.when(marked, bare_r), "bare_h": F.when(marked, bare_h)}).withColumns({"r": X.words(F.col("bare_r")), "h": X.words(F.col("bare_h"))})
+    rows = rows.withColumns({
+        "nomarks_errors": F.when(marked, E.word_distance(F.col("r"), F.col("h"))), "nomarks_units": F.when(marked, F.size("r")), "nomarks_cerrors": F.when(marked, E.char_distance(F.col("bare_r"), F.col("bare_h"))), "nomarks_cunits": F.when(marked, F.length("bare_r")),
+        "plain_errors": F.when(english, F.col("word_errors")), "plain_cerrors": F.when(english, F.col("char_errors")),
+    })
+    numbers = ("word_errors", "n_ref", "char_errors", "n_chars", "nomarks_errors", "nomarks_units", "nomarks_cerrors", "nomarks_cunits", "plain_errors", "plain_cerrors")
+    rows = materialize(rows.select(*by, "failed", "empty", "nref", (marked & (F.trim("bare_r") == "")).alias("bare"), *numbers), "strict")
+    base = join_groups(strict_results(rows, by).drop("wer", "cer"), rows.groupBy(*by).agg(F.count_if("bare").alias("n_bare")), by)
+    reason = F.coalesce("reason", F.when(F.col("n_bare") > 0, "blank reference without marks"))
+    base = base.withColumns({"reason": reason, "status": F.when(reason.isNull(), "ok").otherwise("aborted")}).drop("n_bare")
+    metrics = {"wer": ("word_errors", "n_ref"), "cer": ("char_errors", "n_chars"), "wer_plain": ("plain_errors", "n_ref"), "cer_plain": ("plain_cerrors", "n_chars"), "wer_nomarks": ("nomarks_errors", "nomarks_units"), "cer_nomarks": ("nomarks_cerrors", "nomarks_cunits")}
+    found = intervals(rows, metrics, by, resamples, seed)
+    rated = [f"{m}{x}" for m in metrics for x in ("", "_ci_low", "_ci_high")]
+    out = join_groups(base, found, by, "left")
+    return out.select(*base.columns, *(F.when(F.col("status") == "ok", F.col(c)).alias(c) for c in rated), F.lit(f"{resamples} resamples, seed {seed}").alias("bootstrap"))
 
 
 def paired_delta(rows: DataFrame, a: str, b: str, by: tuple[str, ...] = ("dataset", "language"), resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:

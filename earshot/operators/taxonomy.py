@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from earshot.runtime import materialize
+
 # Provenance labels and categories of errors.
 PROVENANCE = ("CLEAN", "A1_script", "A2_loop", "A3_truncation")
 CATEGORIES = ("boundary", "tone_diacritic", "morphology", "sub_phonetic", "sub_lm_plausible", "function_word")
 CELL = ("benchmark", "model", "lang")
+#: Items of a request that one task puts in order.
+PART = 50_000
 #: Typology of languages that the analysis groups by; others are unknown.
 TYPOLOGY = {"indo_european": "en_us fr_fr pt_br", "own_script": "am_et ti_et ar_eg", "tonal": "yo_ng ig_ng", "bantu_agglutinative": "bem lg_ug ln_cd sn_zw sw_ke rw_rw xh_za zu_za st_za tn_za", "other": "ha_ng mg_mg"}
 
@@ -56,18 +61,27 @@ def by_typology(judgments: DataFrame, with_empty: bool = False) -> DataFrame:
 
 
 def requests(sample: DataFrame, batch: int = 10) -> DataFrame:
-    """Batches of items as JSON, each item with an id that the answer repeats; ``batch_id`` by position in a hash order."""
-    item = F.concat_ws("|", *CELL, "sample_id")
-    rows = sample.withColumn("item_id", item)
-    n = rows.count()
-    parts = max(1, -(-n // batch))
-    return rows.withColumn("batch_id", F.pmod(F.xxhash64("item_id"), F.lit(parts))).groupBy("batch_id").agg(F.count("*").alias("n_items"), F.to_json(F.array_sort(F.collect_list(F.struct("item_id", "reference", "hypothesis")))).alias("payload"))
+    """Batches of exactly ``batch`` items as JSON, the last one of the rest; each item has an id that the answer repeats.
+
+    Items are numbered in the order of a hash: within buckets, which are as many as there are PART
+    items, and from the sums of the buckets before.
+    """
+    rows = materialize(sample.withColumn("item_id", F.concat_ws("|", *CELL, "sample_id")).select("item_id", "reference", "hypothesis"), "items")
+    parts = rows.count() // PART + 1
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
+    before = rows.groupBy("part").count().select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before"))
+    number = F.col("before") + F.row_number().over(W.partitionBy("part").orderBy(F.xxhash64("item_id", F.lit(1)), "item_id", "hypothesis", "reference")) - 1
+    numbered = rows.join(before, "part").withColumn("batch_id", F.floor(number / batch))
+    return numbered.groupBy("batch_id").agg(F.count("*").alias("n_items"), F.to_json(F.array_sort(F.collect_list(F.struct("item_id", "reference", "hypothesis")))).alias("payload"))
 
 
 def answers(sample: DataFrame, replies: DataFrame) -> DataFrame:
-    """Items with their answer by the repeated id; an item without one gets a null provenance and a note."""
+    """Items with their answer by the repeated id; an item without one gets a null provenance and a note.
+
+    Of several answers to one item the first by all its columns counts.
+    """
     rows = sample.withColumn("item_id", F.concat_ws("|", *CELL, "sample_id"))
-    chosen = replies.dropDuplicates(["item_id"])
+    chosen = replies.groupBy("item_id").agg(F.min(F.struct("provenance", "errors", "notes")).alias("a")).select("item_id", "a.*")
     out = rows.join(chosen, "item_id", "left")
     valid = F.col("provenance").isin(*PROVENANCE)
     return out.select(*CELL, "sample_id", F.when(valid, F.col("provenance")).alias("provenance"), F.when(valid, F.col("errors")).alias("errors"), F.when(valid, F.col("notes")).otherwise("no valid answer").alias("notes"))

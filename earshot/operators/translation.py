@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from earshot.operators.groups import join_groups
 from earshot.runtime import spread
 
 ORDERS, CHARS, WORDS, BETA = 4, 6, 2, 2
+#: Pairs that are counted together, at most 1,024.
+BLOCK = 512
 _entities = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 #: The punctuation that the 13a tokenisation sets apart.
 _apart = re.compile(r"([{-~\[-` -&(-+:-@/])")
@@ -33,20 +35,51 @@ def tokenize(text: str) -> list[str]:
     return text.lower().split()
 
 
-def _grams(items: list | str, n: int) -> Counter:
-    return Counter(tuple(items[i : i + n]) for i in range(len(items) - n + 1))
+def _all_orders(refs: list[list[str]], hyps: list[list[str]], orders: int) -> np.ndarray:
+    """For each pair and order: n-grams of the hypothesis, of the reference, and matches; up to 1,024 pairs.
 
-
-def bleu_counts(reference: str, hypothesis: str) -> list[int]:
-    """Lengths of both sides, then for each order clipped matches and n-grams of the hypothesis."""
-    r, h = tokenize(reference), tokenize(hypothesis)
-    out = [len(r), len(h)]
-    for n in range(1, ORDERS + 1):
-        hyp = _grams(h, n)
-        out += [sum((hyp & _grams(r, n)).values()), sum(hyp.values())]
+    An n-gram is a hash of 53 bits between the number of its pair and its side, so that one sort of all
+    of them brings together what is to be counted.
+    """
+    names: dict[str, int] = {}
+    out = np.zeros((len(refs), orders, 3), dtype=np.int64)
+    sides = []
+    for side, texts in ((0, refs), (1, hyps)):
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        items = np.array([names.setdefault(x, len(names) + 1) for t in texts for x in t], dtype=np.uint64)
+        row = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(items))  # items from here to the end of the text
+        sides.append((side, sizes, items, row, left))
+        for n in range(1, orders + 1):
+            out[:, n - 1, 1 - side] = np.maximum(sizes - n + 1, 0)
+    grams = [np.zeros(len(items), dtype=np.uint64) for _, _, items, _, _ in sides]
+    for n in range(1, orders + 1):
+        keys = []
+        for k, (side, _, items, row, left) in enumerate(sides):
+            last = np.zeros(len(items), dtype=np.uint64)
+            last[: max(0, len(items) - n + 1)] = items[n - 1 :]
+            grams[k] = (grams[k] + last) * np.uint64(0x9E3779B97F4A7C15)
+            grams[k] ^= grams[k] >> np.uint64(29)
+            whole = left >= n
+            keys.append((row[whole] << np.uint64(54)) | ((grams[k][whole] >> np.uint64(11)) << np.uint64(1)) | np.uint64(side))
+        both = np.sort(np.concatenate(keys))
+        if not len(both):
+            continue
+        same = both >> np.uint64(1)
+        starts = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
+        hyp = np.add.reduceat((both & np.uint64(1)).astype(np.int64), starts)
+        times = np.diff([*starts, len(both)])
+        out[:, n - 1, 2] = np.bincount((both[starts] >> np.uint64(54)).astype(np.int64), np.minimum(hyp, times - hyp), len(refs)).astype(np.int64)
     return out
 
 
+def bleu_counts(references: list[str], hypotheses: list[str]) -> list[list[int]]:
+    """Of each pair the lengths of both sides, then for each order clipped matches and n-grams of the hypothesis."""
+    refs, hyps = list(map(tokenize, references)), list(map(tokenize, hypotheses))
+    found = _all_orders(refs, hyps, ORDERS)[:, :, [2, 0]].reshape(len(refs), -1)
+    return [[len(r), len(h), *row] for r, h, row in zip(refs, hyps, found.tolist(), strict=True)]
+
+
 def _chrf_words(text: str) -> list[str]:
     out = []
     for word in text.split():
@@ -59,14 +92,12 @@ def _chrf_words(text: str) -> list[str]:
     return out
 
 
-def chrf_counts(reference: str, hypothesis: str) -> list[int]:
-    """For each order (characters 1 to 6, words 1 and 2) n-grams of the hypothesis, of the reference, and matches."""
-    out = []
-    for r, h, orders in (("".join(reference.split()), "".join(hypothesis.split()), CHARS), (_chrf_words(reference), _chrf_words(hypothesis), WORDS)):
-        for n in range(1, orders + 1):
-            ref, hyp = _grams(r, n), _grams(h, n)
-            out += [sum(hyp.values()), sum(ref.values()), sum((hyp & ref).values())]
-    return out
+def chrf_counts(references: list[str], hypotheses: list[str]) -> list[list[int]]:
+    """Of each pair for each order (characters 1 to 6, words 1 and 2) n-grams of the hypothesis, of the reference, and matches."""
+    parts = []
+    for split, orders in ((lambda t: list("".join(t.split())), CHARS), (_chrf_words, WORDS)):
+        parts.append(_all_orders(list(map(split, references)), list(map(split, hypotheses)), orders).reshape(len(references), -1))
+    return np.concatenate(parts, axis=1).tolist()
 
 
 def bleu(counts: list[int]) -> float:
@@ -100,7 +131,11 @@ def chrf(counts: list[int]) -> float:
 
 
 def _counts(references: pa.Array, hypotheses: pa.Array) -> pa.Array:
-    rows = [{"bleu": bleu_counts(r or "", h or ""), "chrf": chrf_counts(r or "", h or "")} for r, h in zip(references.to_pylist(), hypotheses.to_pylist(), strict=True)]
+    r, h = ([x or "" for x in side.to_pylist()] for side in (references, hypotheses))
+    rows = []
+    for at in range(0, len(r), BLOCK):
+        pair = r[at : at + BLOCK], h[at : at + BLOCK]
+        rows += [{"bleu": b, "chrf": c} for b, c in zip(bleu_counts(*pair), chrf_counts(*pair), strict=True)]
     return pa.array(rows, pa.struct([("bleu", pa.list_(pa.int64())), ("chrf", pa.list_(pa.int64()))]))
 
 

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from earshot.runtime import small
+
+#: Languages, at most, whose pairs are made.
+DIMENSION = 2000
 _PLAN = "ordinal int, dataset string, task string, language string, source_lang string, target_lang string"
 
 
@@ -49,9 +53,15 @@ def expand_pairs(sources: list[str], anchors: list[str], direction: str = "both"
 
 
 def expand_pairs_table(sources: DataFrame, anchors: DataFrame, direction: str = "both") -> DataFrame:
-    """The same over tables with ``code`` and ``ordinal``: ``source_lang``, ``target_lang``, ``ordinal``."""
+    """The same over tables with ``code`` and ``ordinal``: ``source_lang``, ``target_lang``, ``ordinal``.
+
+    Both are dimensions of languages; more than DIMENSION rows in one of them is an error.
+    """
+    for table in (sources, anchors):
+        if table.limit(DIMENSION + 1).count() > DIMENSION:
+            raise ValueError(f"pairs are meant for dimensions of up to {DIMENSION} rows")
     s = sources.select(F.col("code").alias("s"), F.col("ordinal").alias("so"))
-    a = F.broadcast(anchors.select(F.col("code").alias("a"), F.col("ordinal").alias("ao")).limit(10_000))
+    a = F.broadcast(anchors.select(F.col("code").alias("a"), F.col("ordinal").alias("ao")))
     both = s.crossJoin(a).filter("s <> a")
     forward = both.select(F.col("s").alias("source_lang"), F.col("a").alias("target_lang"), "so", "ao", F.lit(0).alias("way"))
     reverse = both.select(F.col("a").alias("source_lang"), F.col("s").alias("target_lang"), "so", "ao", F.lit(1).alias("way"))
@@ -78,16 +88,29 @@ def validate(plan: DataFrame, available: DataFrame, supported: DataFrame) -> Dat
 
     ``available``: dataset, language; ``supported``: language.
     """
-    there = F.broadcast(available.select("dataset", "language").distinct().withColumn("in_dataset", F.lit(True)))
-    able = F.broadcast(supported.select("language").distinct().withColumn("in_model", F.lit(True)))
+    there = small(available.select("dataset", "language").distinct().withColumn("in_dataset", F.lit(True)))
+    able = small(supported.select("language").distinct().withColumn("in_model", F.lit(True)))
     out = plan.filter("task = 'asr'").join(there, ["dataset", "language"], "left").join(able, "language", "left")
     reason = F.when(F.col("in_dataset").isNull(), "not in dataset").when(F.col("in_model").isNull(), "not supported by model")
     return out.select("ordinal", "dataset", "language", reason.alias("reason"))
 
 
+def validate_pairs(plan: DataFrame, available: DataFrame, supported: DataFrame) -> DataFrame:
+    """The plan's translation cells with the reason why one can't run; null where it can.
+
+    ``available``: dataset, language; ``supported``: source_lang, target_lang. Both languages must be in the dataset.
+    """
+    there = available.select("dataset", "language").distinct()
+    side = lambda name: small(there.select("dataset", F.col("language").alias(f"{name}_lang"), F.lit(True).alias(f"has_{name}")))
+    able = small(supported.select("source_lang", "target_lang").distinct().withColumn("in_model", F.lit(True)))
+    out = plan.filter("task = 'ast'").join(side("source"), ["dataset", "source_lang"], "left").join(side("target"), ["dataset", "target_lang"], "left").join(able, ["source_lang", "target_lang"], "left")
+    reason = F.when(F.col("has_source").isNull(), "source not in dataset").when(F.col("has_target").isNull(), "target not in dataset").when(F.col("in_model").isNull(), "pair not supported by model")
+    return out.select("ordinal", "dataset", "source_lang", "target_lang", reason.alias("reason"))
+
+
 def todo(plan: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Cells that have no result yet; the scan of finished ones is never built."""
-    return plan.join(F.broadcast(done.select(*keys).distinct()), keys, "left_anti")
+    return plan.join(small(done.select(*keys).distinct()), keys, "left_anti")
 
 
 def matching(groups: DataFrame, pattern: str, column: str = "group_key") -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from earshot.functions import text as X
+from earshot.runtime import small
 
 AUDIO = "audio struct<bytes: binary, path: string>"
 FLEURS_TSV = "id int, file_name string, raw_transcription string, transcription string, phonemes string, num_samples bigint, gender string"
@@ -18,6 +20,8 @@ MANIFEST = "sample_id string, audio_kind string, audio_path string, parquet_id s
 GROUPS = "group_key string, config_name string, language_code string, iso string, n_clean int, hours_clean double, audio_kind string, manifest_file string"
 METRICS = "task string, model_name string, dataset string, language string, source_lang string, target_lang string, wer double, cer double, bleu double, chrf double, spbleu double, ssa_comet double, num_samples int, total_time double, avg_time_per_sample double, model_type string, metric_config struct<lowercase: boolean, remove_punctuation: boolean, unicode_form: string, collapse_whitespace: boolean>"
 JUDGMENTS = "benchmark string, model string, lang string, sample_id string, provenance string, errors array<struct<ref_span: string, hyp_span: string, category: string, confidence: double>>, notes string"
+#: Largest share of unusable rows of a corpus, and rows under which it is flagged as small.
+MAX_BAD, SMALL = 0.002, 300
 #: Other names of splits in the corpora's file names.
 SPLIT_FILES = {"validation": "valid", "dev": "valid", "valid": "valid", "train": "train", "test": "test"}
 
@@ -30,8 +34,6 @@ def _plain(spark: SparkSession, path: str | list[str], schema: str | None, sep:
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``ordinal``, the row's number from 0 in the order given; where readers gave no line numbers."""
-    from pyspark.sql import Window as W
-
     return df.withColumn("ordinal", F.row_number().over(W.orderBy(*order)) - 1)
 
 
@@ -60,17 +62,53 @@ def fleurs_index(spark: SparkSession, path: str, language: str, split: str) -> D
 
 
 def waxal(spark: SparkSession, root: str, iso3: str, split: str, code: str) -> DataFrame:
-    """Only the files of one language and split; rows without a transcription are left out; ids fall back to a number."""
+    """Only the files of one language and split; rows without a transcription are left out.
+
+    A row without an id is named by its number among all rows of the split, from 0, in the order of
+    the files: the rows of the files before are counted, and each file numbers its own.
+    """
     rows = spark.read.option("pathGlobFilter", f"{iso3}-{split}-*.parquet").parquet(f"{root}/data/ASR/{iso3}")
-    rows = rows.filter(F.trim(F.coalesce("transcription", F.lit(""))) != "")
-    return rows.withColumn("sample_id", F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit(f"{code}_"), F.xxhash64("transcription", "speaker_id").cast("string")))).withColumn("language", F.lit(code))
+    rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    files = rows.groupBy("_file").agg(F.count("*").alias("n"))
+    before = small(files.select("_file", (F.sum("n").over(W.orderBy("_file")) - F.col("n")).alias("_before")))
+    name = F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit(f"{code}_"), (F.col("_before") + F.col("_row")).cast("string")))
+    kept = rows.filter(F.trim(F.coalesce("transcription", F.lit(""))) != "").join(before, "_file")
+    return kept.withColumns({"sample_id": name, "language": F.lit(code)}).drop("_file", "_row", "_before")
 
 
 def simba(spark: SparkSession, root: str, iso3: list[str], code: str) -> DataFrame:
-    """All test files of one or several ISO prefixes as one language."""
+    """All test files of one or several ISO prefixes as one language; `usable` says whether they may be scored."""
     return spark.read.parquet(*(f"{root}/HF_test-{i}*.parquet" for i in iso3)).withColumn("language", F.lit(code)).withColumnRenamed("benchmark_id", "sample_id")
 
 
+def usable(rows: DataFrame, text: str = "text", key: str = "sample_id", readable: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with a text (and readable audio), trimmed, and a report of one row.
+
+    The report has rows in all, used, empty and unreadable ones, ids that repeat among those used,
+    whether the corpus is small, and ``problem``: why it must not be scored (no rows, more than MAX_BAD
+    of them unusable, an id twice), null if nothing is wrong.
+    """
+    empty = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    broken = ~empty & ~(F.lit(True) if readable is None else F.coalesce(readable, F.lit(False)))
+    marked = rows.withColumns({"_empty": empty, "_broken": broken})
+    good = marked.filter("not _empty and not _broken").drop("_empty", "_broken").withColumn(text, F.trim(text))
+    repeated = good.groupBy(key).agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("n_repeated"))
+    report = marked.agg(F.count("*").alias("n_rows"), F.count_if("_empty").alias("n_empty"), F.count_if("_broken").alias("n_unreadable")).crossJoin(repeated)
+    report = report.withColumn("n_used", F.col("n_rows") - F.col("n_empty") - F.col("n_unreadable")).withColumn("small", F.col("n_used") < SMALL)
+    bad = F.col("n_empty") + F.col("n_unreadable")
+    problem = F.when(F.col("n_rows") == 0, "no rows").when(bad > MAX_BAD * F.col("n_rows"), "unusable rows").when(F.col("n_repeated") > 0, "repeated ids")
+    return good, report.withColumn("problem", problem)
+
+
+def checked(rows: DataFrame, **kw) -> DataFrame:
+    """The usable rows of a corpus; a problem is an error."""
+    good, report = usable(rows, **kw)
+    found = report.first()
+    if found["problem"]:
+        raise ValueError(f"corpus can't be scored: {found.asDict()}")
+    return good
+
+
 def bigc(spark: SparkSession, path: str) -> DataFrame:
     """Rows with an audio and a sentence, trimmed."""
     rows = _plain(spark, path, BIGC)
@@ -111,6 +149,29 @@ def predictions(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("sample_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("reference", "hypothesis")), "audio_path", cell["dataset"].alias("dataset"), cell["model"].alias("model"), cell["language"].alias("language"))
 
 
+def translations(spark: SparkSession, root: str, languages: list[str]) -> DataFrame:
+    """All translation predictions under a folder: source, reference and hypothesis texts, cell from the path."""
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_ast_*.csv").option("enforceSchema", False).schema("sample_id string, source_transcription string, reference string, hypothesis string").csv(root)
+    rows = rows.withColumn("file", F.col("_metadata.file_path")).filter(F.contains("file", F.lit("/predictions/")))
+    cell = X.translation_cell_of_path(F.col("file"), languages)
+    return rows.select("sample_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("source_transcription", "reference", "hypothesis")), cell["dataset"].alias("dataset"), cell["model"].alias("model"), cell["source_lang"].alias("source_lang"), cell["target_lang"].alias("target_lang"), F.regexp_replace("file", r"/predictions/([^/]+)\.csv$", "/metrics/$1_metrics.json").alias("metrics_file"))
+
+
+def cells_like(rows: DataFrame, **wanted: str | None) -> DataFrame:
+    """Rows whose columns have the wanted values; None wants nothing. A column that is not there is an error."""
+    for column, value in wanted.items():
+        if value is not None:
+            rows = rows.filter(F.col(column) == value)
+    return rows
+
+
+def with_metrics(predictions: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Cells of predictions with the metric record of their stem; ``metrics_file`` joins both, metrics' names prevail."""
+    found = metrics.withColumnRenamed("file", "metrics_file").withColumnsRenamed({c: f"known_{c}" for c in metrics.columns if c in predictions.columns})
+    out = predictions.join(found, "metrics_file", "left")
+    return out.withColumns({c: F.coalesce(f"known_{c}", c) for c in predictions.columns if f"known_{c}" in out.columns}).drop(*(c for c in out.columns if c.startswith("known_")))
+
+
 def strict_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Predictions in which ``failed`` tells a failed row from an empty one; a failed hypothesis is null."""
     rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema("sample_id string, reference string, hypothesis string, failed int").csv(path)
@@ -154,7 +215,7 @@ def language_pairs(df: DataFrame, key: str, column: str = "language") -> DataFra
     return pairs.filter("source_lang <> target_lang").groupBy("source_lang", "target_lang").agg(F.count("*").alias("n"))
 
 
-_SOURCES: dict[str, Callable[..., DataFrame]] = {"fleurs": fleurs, "waxal": waxal, "simba": simba, "bigc": bigc, "bembaspeech": bembaspeech, "nchlt": nchlt}
+_SOURCES: dict[str, Callable[..., DataFrame]] = {"fleurs": fleurs, "waxal": waxal, "simba": simba, "bigc": bigc, "bembaspeech": bembaspeech, "mbaza": lambda *a, **k: mbaza(*a, **k)[0], "nchlt": nchlt}
 
 
 def source(name: str) -> Callable[..., DataFrame]:

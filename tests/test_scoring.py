@@ -82,7 +82,7 @@ def test_bootstrap_is_that_of_positions(spark):
     rng = np.random.default_rng(5)
     pairs = [(" ".join("ab"[int(rng.integers(2))] for _ in range(4)), "a a a a") for _ in range(40)]
     rows = S.utterances(table(spark, pairs))
-    got = S.bootstrap(rows, ("dataset",)).first()
+    got = S.bootstrap_positions(rows, ("dataset",)).first()
     local = sorted(rows.select("pred_id", "word_errors", "n_ref").collect())
     e, u = (np.array([r[k] for r in local]) for k in ("word_errors", "n_ref"))
     index = np.random.default_rng(0).integers(0, 40, size=(1000, 40))
@@ -97,12 +97,46 @@ def test_blocks_of_resamples_are_one_stream():
     assert (S.resample(e, u, 9000) == whole).all()
 
 
-def test_large_cells_are_resampled_by_counts(spark, monkeypatch):
+def test_counts_are_resampled_at_every_size(spark, monkeypatch):
     rows = S.utterances(table(spark, [("a b" if i % 3 else "a c", "a b") for i in range(300)]))
-    exact = S.bootstrap(rows, ("dataset",)).first()
-    monkeypatch.setattr(S, "EXACT_ROWS", 10)
+    monkeypatch.setattr(S, "EXACT_ROWS", 300)
+    exact = S.bootstrap_positions(rows, ("dataset",)).first()
     counted = S.bootstrap(rows, ("dataset",)).first()
-    assert counted["wer"] == exact["wer"] and abs(counted["wer_ci_low"] - exact["wer_ci_low"]) < 1.5
+    assert counted["wer"] == exact["wer"] and counted["n"] == 300 and abs(counted["wer_ci_low"] - exact["wer_ci_low"]) < 1.5
+    monkeypatch.setattr(S, "EXACT_ROWS", 299)
+    assert S.bootstrap(rows, ("dataset",)).first() == counted
+    with pytest.raises(ValueError):
+        S.bootstrap_positions(rows, ("dataset",))
+
+
+def test_strict_record(spark):
+    yo = table(spark, [("oo nnkan", "ọ́ọ̀ nǹkan"), ("lowa", "lówà")], ("e", "d", "m", "yo_ng"))
+    en = table(spark, [("a b", "a c"), ("a c", "a c")], ("e", "d", "m", "en_us"))
+    failed = table(spark, [(None, "a c"), ("a c", "a c")], ("e", "d", "m", "fr_fr"))
+    got = {r["language"]: r for r in S.strict_record(yo.unionByName(en).unionByName(failed)).collect()}
+    assert got["yo_ng"]["wer"] > 50 and got["yo_ng"]["wer_nomarks"] == 0 == got["yo_ng"]["cer_nomarks"] and got["yo_ng"]["wer_plain"] is None
+    assert got["en_us"]["wer"] == got["en_us"]["wer_plain"] == 25 and got["en_us"]["wer_ci_low"] == 0 < got["en_us"]["wer_ci_high"] and got["en_us"]["wer_nomarks"] is None
+    assert got["fr_fr"]["status"] == "aborted" and got["fr_fr"]["wer"] is None and got["fr_fr"]["reason"] == "failed utterances" and got["fr_fr"]["n_failed"] == 1
+
+
+def test_alignments_of_any_size():
+    rng = np.random.default_rng(6)
+    for n, m in ((0, 3), (3, 0), (5, 7), (80, 90), (60, 55)):
+        for words in (2, 5, 50):
+            r, h = [str(x) for x in rng.integers(words, size=n)], [str(x) for x in rng.integers(words, size=m)]
+            cost = np.array([[i + j if not i or not j else 0 for j in range(m + 1)] for i in range(n + 1)])
+            for i in range(1, n + 1):
+                for j in range(1, m + 1):
+                    cost[i, j] = min(cost[i - 1, j - 1] + (r[i - 1] != h[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+            steps = E.align(r, h)
+            assert sum(s[0] != "equal" for s in steps) == cost[n, m]
+            assert [s[1] for s in steps if s[0] != "insert"] == list(range(n)) and [s[2] for s in steps if s[0] != "delete"] == list(range(m))
+
+
+def test_distances_of_many_different_words(spark):
+    words = [f"w{i}" for i in range(1200)]
+    df = spark.createDataFrame([(words, words[1:] + ["x"])], "a array<string>, b array<string>")
+    assert df.select(E.word_distance(F.col("a"), F.col("b"))).first()[0] == 2
 
 
 def test_paired_delta(spark):
@@ -176,12 +210,13 @@ def test_sample_is_fixed_and_bounded(spark):
 
 
 def test_bleu_and_chrf():
-    same = M.bleu_counts("the cat sat on the mat", "the cat sat on the mat")
-    assert M.bleu(same) == pytest.approx(100) and M.chrf(M.chrf_counts("abc def", "abc def")) == pytest.approx(100)
-    assert M.bleu(M.bleu_counts("a b c d", "x y z w")) == 0
-    assert M.bleu(M.bleu_counts("a b c d e", "")) == 0 and M.chrf(M.chrf_counts("abc", "")) == 0
+    bleu = lambda r, h: M.bleu(M.bleu_counts([r], [h])[0])
+    chrf = lambda r, h: M.chrf(M.chrf_counts([r], [h])[0])
+    assert bleu("the cat sat on the mat", "the cat sat on the mat") == pytest.approx(100) and chrf("abc def", "abc def") == pytest.approx(100)
+    assert bleu("a b c d", "x y z w") == 0
+    assert bleu("a b c d e", "") == 0 and chrf("abc", "") == 0
     # 3 of 4 words, 2 of 3 pairs, 1 of 2 triples, 0 of 1: smoothed to 1/2
-    assert M.bleu(M.bleu_counts("a b c d", "a b c x")) == pytest.approx(100 * (3 / 4 * 2 / 3 * 1 / 2 * 1 / 2) ** 0.25)
+    assert bleu("a b c d", "a b c x") == pytest.approx(100 * (3 / 4 * 2 / 3 * 1 / 2 * 1 / 2) ** 0.25)
     assert M.tokenize("Hello, world! 3.14 (x)") == ["hello", ",", "world", "!", "3.14", "(", "x", ")"]
 
 

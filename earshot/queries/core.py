@@ -105,6 +105,27 @@ def bootstrap_ci(s, d):
     return S.bootstrap(_rows(s, d), ("dataset", "model"))
 
 
+@query
+def bootstrap_points(s, d):
+    """The rates themselves, and whether their intervals hold them."""
+    b = S.bootstrap(_rows(s, d), ("dataset", "model"))
+    return b.select("dataset", "model", "n", "wer", "cer", ((F.col("wer_ci_low") <= F.col("wer")) & (F.col("wer") <= F.col("wer_ci_high"))).alias("held"))
+
+
+@query
+def strict_records(s, d):
+    """Strict records with the rates of all policies, and whether the intervals hold them."""
+    r = S.strict_record(table(s, d, "predictions"))
+    held = F.when(F.col("status") == "ok", (F.col("wer_ci_low") <= F.col("wer")) & (F.col("wer") <= F.col("wer_ci_high")) & (F.col("cer_ci_low") <= F.col("cer")) & (F.col("cer") <= F.col("cer_ci_high")))
+    return r.select(*S.CELL, "status", "reason", "n", "n_failed", "n_empty_hyp", "wer_ref_units", "cer_ref_units", *(F.round(c, 6).alias(c) for c in ("wer", "cer", "wer_plain", "cer_plain", "wer_nomarks", "cer_nomarks")), held.alias("held"))
+
+
+@query
+def paired_points(s, d):
+    """Differences of two models on what both have, without intervals."""
+    return S.paired_delta(_rows(s, d), "brook_ctc_large", "cinder_llm_7b").select("dataset", "language", "n", "n_unequal", F.round("delta", 6).alias("delta"))
+
+
 @query
 def paired_delta(s, d):
     return S.paired_delta(_rows(s, d), "brook_ctc_large", "cinder_llm_7b")
@@ -149,6 +170,14 @@ def alignment_breakdown(s, d):
     return rows.groupBy("dataset", "model").agg(*(F.sum(f"a.{c}").alias(c) for c in ("hits", "substitutions", "deletions", "insertions")), F.sum("word_errors").alias("word_errors"), F.sum("n_ref").alias("n_ref"))
 
 
+@query
+def alignment_totals(s, d):
+    """What any best alignment adds up to: errors, words of the reference, words of the hypothesis."""
+    a = F.col("a")
+    rows = _rows(s, d).withColumn("a", E.operation_counts(F.col("ref_words"), F.col("hyp_words")))
+    return rows.groupBy("dataset", "model").agg(F.sum(a["substitutions"] + a["deletions"] + a["insertions"]).alias("errors"), F.sum(a["hits"] + a["substitutions"] + a["deletions"]).alias("ref_words"), F.sum(a["hits"] + a["substitutions"] + a["insertions"]).alias("hyp_words"))
+
+
 @query
 def aligned_ops(s, d):
     return _rows(s, d).select("pred_id", F.explode(E.alignment(F.col("ref_words"), F.col("hyp_words"))["ops"]).alias("op")).select("pred_id", "op.type", "op.ref_span", "op.hyp_span")
@@ -159,6 +188,18 @@ def judge_sample(s, d):
     return A.sample_per_cell(_rows(s, d).select(*S.CELL, "pred_id", "sample_id", "nref", "nhyp"), 5, 42)
 
 
+@query
+def judge_sample_sizes(s, d):
+    sample = A.sample_per_cell(_rows(s, d).select(*S.CELL, "pred_id"), 5, 42)
+    return sample.groupBy(*S.CELL).agg(F.count("*").alias("n"), F.count_distinct("pred_id").alias("n_ids"))
+
+
+@query
+def judge_batches(s, d):
+    sample = A.sample_per_cell(table(s, d, "predictions").filter("hypothesis is not null").select(F.col("dataset").alias("benchmark"), "model", F.col("language").alias("lang"), "sample_id", "pred_id", "reference", "hypothesis"), 5, 42, ("benchmark", "model", "lang"))
+    return T.requests(sample).select("batch_id", "n_items")
+
+
 @query
 def judge_requests(s, d):
     sample = A.sample_per_cell(table(s, d, "predictions").filter("hypothesis is not null").select(F.col("dataset").alias("benchmark"), "model", F.col("language").alias("lang"), "sample_id", "pred_id", "reference", "hypothesis"), 5, 42, ("benchmark", "model", "lang"))
@@ -319,6 +360,19 @@ def shard_merge(s, d):
     return J.merge_shards(p.select("pred_id", "shard"), p.select("pred_id"), "pred_id", "shard", 8)
 
 
+@query
+def merged_rows(s, d):
+    p = table(s, d, "predictions")
+    return J.merged_shards(p.select("pred_id", "shard", "hypothesis"), p.select("pred_id", F.col("pred_id").alias("ordinal")), "pred_id", "ordinal", "shard", 8).select("pred_id", "ordinal", "hypothesis")
+
+
+@query
+def merged_times(s, d):
+    """Seconds of shards, made up from their numbers of rows and characters."""
+    parts = table(s, d, "predictions").groupBy("experiment", "shard").agg(F.count("*").cast("double").alias("seconds"), F.sum(F.length("reference")).cast("double").alias("audio_seconds"))
+    return J.merged_times(parts, ("experiment",))
+
+
 @query
 def strided_shards(s, d):
     p = table(s, d, "predictions").select("pred_id")
@@ -397,7 +451,8 @@ def rates_by_model(s, d):
 @query
 def error_accounting(s, d):
     p = table(s, d, "predictions")
-    return p.groupBy("experiment", "model").agg(F.count("*").alias("n"), F.count_if(F.col("hypothesis").isNull()).alias("n_failed"), F.count_if(F.col("hypothesis") == "").alias("n_empty_hyp"), F.count_if(F.col("hypothesis").isNull() & (F.col("failed") == 0)).alias("n_inconsistent"), F.bool_or(F.col("wer").isNotNull()).alias("any_wer"))
+    out = S.accounting(p.withColumn("error", F.when(F.col("hypothesis").isNull(), F.concat(F.lit("no output in "), "shard"))), ("experiment", "model"), "error")
+    return out.select("experiment", "model", "n", "n_failed", "n_empty_hyp", F.array_join("errors_sample", "|").alias("errors_sample"))
 
 
 @query
@@ -472,6 +527,37 @@ def file_names(s, d):
     return p.select(path.alias("path"), cell["dataset"].alias("dataset"), cell["model"].alias("model"), cell["language"].alias("language"), X.is_recognition_file(path).alias("included"))
 
 
+@query
+def translation_file_names(s, d):
+    p = table(s, d, "predictions").select("dataset", "model").distinct().withColumn("k", F.lit(1))
+    codes = [r["code"] for r in table(s, d, "languages").select("code").collect()]  # a fixed table of 18 rows
+    pairs = p.join(table(s, d, "languages").select(F.col("code").alias("a")), F.lit(True)).join(table(s, d, "languages").select(F.col("code").alias("b")), F.lit(True)).filter("a <> b")
+    path = F.concat(F.lit("/x/"), "dataset", F.lit("/predictions/"), "model", F.lit("_ast_"), "a", F.lit("_"), "b", F.lit(".csv"))
+    cell = X.translation_cell_of_path(path, codes)
+    return pairs.select(path.alias("path"), *(cell[c].alias(c) for c in ("dataset", "model", "source_lang", "target_lang")))
+
+
+@query
+def corpus_guard(s, d):
+    from earshot.sources import readers
+
+    return readers.usable(table(s, d, "asr_index_v6_16k"), "transcript", "audio_id")[1]
+
+
+@query
+def language_info(s, d):
+    p = table(s, d, "predictions").groupBy("language").agg(F.count("*").alias("n"))
+    return A.with_language(p, table(s, d, "languages"))
+
+
+@query
+def pair_reasons(s, d):
+    codes = table(s, d, "languages").select("code")
+    pairs = J.all_pairs(codes).withColumns({"dataset": F.lit("lakevoice"), "task": F.lit("ast"), "ordinal": F.lit(0)})
+    available = table(s, d, "asr_index_v6_16k").select(F.col("source").alias("dataset"), "language")
+    return P.validate_pairs(pairs, available, L.translation(table(s, d, "languages")).filter("backbone = 'nllb'")).select("source_lang", "target_lang", "reason")
+
+
 @query
 def fixed_subset(s, d):
     return table(s, d, "predictions").groupBy("dataset").agg(F.count("*").alias("n"), F.count_if(X.in_subset(F.col("sample_id"), 0.1)).alias("n_in_subset"))
@@ -493,7 +579,7 @@ def priority_rows(s, d):
 @query
 def translation_cells(s, d):
     p = table(s, d, "predictions").withColumn("intermediate", F.when(F.col("model").contains("llm"), F.col("hypothesis")))
-    return M.cell_records(p, ("dataset", "model")).select("dataset", "model", "model_type", "num_samples", "spbleu", "ssa_comet")
+    return M.cell_records(p, ("dataset", "model")).select("dataset", "model", "model_type", "num_samples", F.round("bleu", 4).alias("bleu"), F.round("chrf", 4).alias("chrf"), "spbleu", "ssa_comet")
 
 
 @query

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from earshot.functions import languages as L
 from earshot.functions.text import APOSTROPHES, TAG, WORD, WS
-from earshot.operators.taxonomy import CATEGORIES, PROVENANCE, TYPOLOGY
 
 _ws = WS
+# Fixed values, written out once more so that a slip in the code they check is seen.
+PROVENANCE = ("CLEAN", "A1_script", "A2_loop", "A3_truncation")
+CATEGORIES = ("boundary", "tone_diacritic", "morphology", "sub_phonetic", "sub_lm_plausible", "function_word")
+TYPOLOGY = {
+    "indo_european": "en_us fr_fr pt_br",
+    "own_script": "am_et ti_et ar_eg",
+    "tonal": "yo_ng ig_ng",
+    "bantu_agglutinative": "bem lg_ug ln_cd sn_zw sw_ke rw_rw xh_za zu_za st_za tn_za",
+    "other": "ha_ng mg_mg",
+}
 
 
 def collapse(x: str) -> str:
@@ -116,6 +125,41 @@ _DIST = """r AS (SELECT dataset, language, wer, row_number() OVER w AS rn, count
 half AS (SELECT *, floor(0.9 * (n - 1)) AS a9, 0.9::DOUBLE * (n - 1) AS x9, 0.99::DOUBLE * (n - 1) AS x99 FROM r),
 even AS (SELECT *, CASE WHEN x9 - floor(x9) = 0.5 THEN 2 * round(x9 / 2) ELSE round(x9) END AS p9, CASE WHEN x99 - floor(x99) = 0.5 THEN 2 * round(x99 / 2) ELSE round(x99) END AS p99 FROM half)"""
 
+def _13a(x: str) -> str:
+    e = f"coalesce({x}, '')"
+    for a, b in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        e = f"replace({e}, '{a}', '{b}')"
+    e = f"regexp_replace(' ' || {e} || ' ', '([{{-~\\[-` -&(-+:-@/])', ' \\1 ', 'g')"
+    e = f"regexp_replace({e}, '([^0-9])([.,])', '\\1 \\2 ', 'g')"
+    e = f"regexp_replace({e}, '([.,])([^0-9])', ' \\1 \\2', 'g')"
+    e = f"regexp_replace({e}, '([0-9])(-)', '\\1 \\2 ', 'g')"
+    return _split(f"lower({e})")
+
+
+def _split(x: str) -> str:
+    return f"list_filter(string_split({collapse(x)}, ' '), lambda w: w <> '')"
+
+
+def _grams(name: str, source: str, orders: int) -> str:
+    """n-grams of both sides of every row, and how many of each both have."""
+    side = lambda c: f"SELECT pred_id, k, list_slice({c}, i, i + k - 1) AS g, count(*) AS c FROM (SELECT pred_id, {c}, k, unnest(range(1, len({c}) - k + 2)) AS i FROM {source}, range(1, {orders + 1}) o(k) WHERE len({c}) >= k) GROUP BY ALL"
+    return f"""{name}_r AS ({side("r")}), {name}_h AS ({side("h")}), {name}_m AS (SELECT pred_id, k, sum(least(x.c, y.c)) AS m FROM {name}_r x JOIN {name}_h y USING (pred_id, k, g) GROUP BY ALL),
+{name}_s AS (SELECT dataset, model, k, sum(greatest(len(h) - k + 1, 0)) AS hyp, sum(greatest(len(r) - k + 1, 0)) AS ref, sum(coalesce(m, 0)) AS met FROM (SELECT *, unnest(range(1, {orders + 1})) AS k FROM {source}) LEFT JOIN {name}_m USING (pred_id, k) GROUP BY ALL)"""
+
+
+_BLEU = f"""btok AS (SELECT pred_id, dataset, model, {_13a("reference")} AS r, {_13a("hypothesis")} AS h FROM predictions), {_grams("b", "btok", 4)},
+blen AS (SELECT dataset, model, sum(len(r)) AS rl, sum(len(h)) AS hl FROM btok GROUP BY ALL),
+bz AS (SELECT *, sum(CASE WHEN met = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY dataset, model ORDER BY k) AS zeros FROM b_s),
+bp AS (SELECT dataset, model, avg(ln(CASE WHEN met > 0 THEN 100 * met / hyp ELSE 100 / (pow(2, zeros) * nullif(hyp, 0)) END)) AS l, sum(met) AS met, min(hyp) AS least FROM bz GROUP BY ALL),
+bleu AS (SELECT dataset, model, CASE WHEN met = 0 OR least = 0 THEN 0.0 ELSE exp(l) * CASE WHEN hl >= rl THEN 1.0 ELSE exp(1 - rl / hl) END END AS bleu FROM bp JOIN blen USING (dataset, model))"""
+_edge = "'.,!?;:\"''()[]{}'"
+_pieces = lambda x: f"flatten(list_transform({_split(f'coalesce({x}, {chr(39) * 2})')}, lambda w: CASE WHEN length(w) > 1 AND contains({_edge}, right(w, 1)) THEN [left(w, length(w) - 1), right(w, 1)] WHEN length(w) > 1 AND contains({_edge}, left(w, 1)) THEN [left(w, 1), substr(w, 2)] ELSE [w] END))"
+_letters_of = lambda x: chars(f"regexp_replace(coalesce({x}, ''), '[{_ws}]+', '', 'g')")
+_CHRF = f"""ctok AS (SELECT pred_id, dataset, model, {_letters_of("reference")} AS r, {_letters_of("hypothesis")} AS h FROM predictions), {_grams("c", "ctok", 6)},
+wtok AS (SELECT pred_id, dataset, model, {_pieces("reference")} AS r, {_pieces("hypothesis")} AS h FROM predictions), {_grams("w", "wtok", 2)},
+cw AS (SELECT dataset, model, avg(met / hyp) AS p, avg(met / ref) AS q FROM (SELECT * FROM c_s UNION ALL SELECT * FROM w_s) WHERE hyp > 0 AND ref > 0 GROUP BY ALL),
+chrf AS (SELECT dataset, model, coalesce(100 * 5 * p * q / nullif(4 * p + q, 0), 0.0) AS chrf FROM cw)"""
+
 SQL = {
     "corpus_error_rates": f"WITH {_S} SELECT experiment, dataset, model, language, {_RATES} FROM s GROUP BY ALL",
     "per_utterance_scores": f"{_E} SELECT pred_id, CAST(n_ref AS INTEGER) AS n_ref, CAST(n_hyp AS INTEGER) AS n_hyp, CAST(n_chars AS INTEGER) AS n_chars, CAST(we AS INTEGER) AS word_errors, CAST(ce AS INTEGER) AS char_errors, wer, cer, len_ratio FROM e",
@@ -200,12 +244,42 @@ SELECT 'whisper' AS backbone, source_lang, target_lang FROM p WHERE sw IS NOT NU
 UNION ALL SELECT 'seamless', source_lang, target_lang FROM p WHERE ss IN ({_speech}) AND ts IN ({_heard}) UNION ALL SELECT 'causal_lm', source_lang, target_lang FROM p WHERE su IS NOT NULL AND tu IS NOT NULL""",
     "plan_reasons": f"""WITH {_CODES}, {_RECOGNITION}, p AS (SELECT d.dataset, l.code AS language FROM (SELECT DISTINCT dataset FROM predictions) d, languages l), av AS (SELECT DISTINCT source, language FROM asr_index_v6_16k)
 SELECT dataset, p.language, CASE WHEN av.source IS NULL THEN 'not in dataset' WHEN rec.code IS NULL THEN 'not supported by model' END AS reason FROM p LEFT JOIN av ON av.source = dataset AND av.language = p.language LEFT JOIN rec ON rec.code = p.language AND backbone = 'tuned_ctc'""",
+    "pair_reasons": f"""WITH {_CODES}, av AS (SELECT DISTINCT language FROM asr_index_v6_16k WHERE source = 'lakevoice'), nl AS (SELECT code FROM codes WHERE nllb IS NOT NULL)
+SELECT a.code AS source_lang, b.code AS target_lang, CASE WHEN a.code NOT IN (SELECT language FROM av WHERE language IS NOT NULL) THEN 'source not in dataset' WHEN b.code NOT IN (SELECT language FROM av WHERE language IS NOT NULL) THEN 'target not in dataset' WHEN a.code NOT IN (SELECT code FROM nl) OR b.code NOT IN (SELECT code FROM nl) THEN 'pair not supported by model' END AS reason FROM languages a, languages b WHERE a.code <> b.code""",
     "todo_cells": "SELECT c.dataset, c.model, l.code AS language FROM (SELECT DISTINCT dataset, model FROM predictions) c, languages l WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.dataset = c.dataset AND p.model = c.model AND p.language = l.code)",
     "todo_rows": "SELECT pred_id, sample_id, model FROM predictions p WHERE NOT EXISTS (SELECT 1 FROM predictions q WHERE q.failed = 0 AND q.sample_id = p.sample_id AND q.model = p.model)",
     "todo_orders": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "macro_averages": f"WITH {_S}, g AS (SELECT experiment, dataset, model, language, {_RATES} FROM s GROUP BY ALL) SELECT model, dataset, round(avg(wer), 6) AS macro_wer, round(avg(cer), 6) AS macro_cer, count(*) AS cells, CAST(sum(num_samples) AS BIGINT) AS num_samples FROM g GROUP BY ALL",
     "rates_by_model": f"WITH {_S}, g AS (SELECT model, {_RATES} FROM s GROUP BY ALL) SELECT g.*, coalesce(display, model) AS display, has_lm FROM g LEFT JOIN models ON model_id = model",
-    "error_accounting": "SELECT experiment, model, count(*) AS n, count(CASE WHEN hypothesis IS NULL THEN 1 END) AS n_failed, count(CASE WHEN hypothesis = '' THEN 1 END) AS n_empty_hyp, count(CASE WHEN hypothesis IS NULL AND failed = 0 THEN 1 END) AS n_inconsistent, bool_or(wer IS NOT NULL) AS any_wer FROM predictions GROUP BY ALL",
+    "error_accounting": """WITH e AS (SELECT DISTINCT experiment, model, 'no output in ' || shard AS error FROM predictions WHERE hypothesis IS NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY experiment, model ORDER BY error) AS r FROM e), l AS (SELECT experiment, model, string_agg(error, '|' ORDER BY error) AS errors_sample FROM t WHERE r <= 3 GROUP BY ALL),
+g AS (SELECT experiment, model, count(*) AS n, count(CASE WHEN hypothesis IS NULL THEN 1 END) AS n_failed, count(CASE WHEN hypothesis = '' THEN 1 END) AS n_empty_hyp FROM predictions GROUP BY ALL)
+SELECT g.*, errors_sample FROM g LEFT JOIN l USING (experiment, model)""",
+    "bootstrap_points": f"WITH {_S} SELECT dataset, model, count(*) AS n, 100 * sum(we) / sum(n_ref) AS wer, 100 * sum(ce) / sum(n_chars) AS cer, true AS held FROM s GROUP BY ALL",
+    "strict_records": f"""WITH n AS (SELECT experiment, dataset, model, language, hypothesis, {policy("reference")} AS nref, {policy("hypothesis")} AS nhyp, language IN ('yo_ng', 'ig_ng', 'ar_eg', 'ha_ng') AS marked FROM predictions),
+m AS (SELECT *, CASE WHEN marked THEN strip_accents(nref) END AS bref, CASE WHEN marked THEN strip_accents(nhyp) END AS bhyp FROM n),
+u AS (SELECT *, {words("nref")} AS r, {words("nhyp")} AS h, {chars("nref")} AS rc, {chars("nhyp")} AS hc, {words("bref")} AS br, {words("bhyp")} AS bh, {chars("bref")} AS brc, {chars("bhyp")} AS bhc FROM m),
+s AS (SELECT *, {distance("r", "h")} AS we, {distance("rc", "hc")} AS ce, CASE WHEN marked THEN {distance("br", "bh")} END AS bwe, CASE WHEN marked THEN {distance("brc", "bhc")} END AS bce FROM u),
+g AS (SELECT experiment, dataset, model, language, count(*) AS n, count(CASE WHEN hypothesis IS NULL THEN 1 END) AS n_failed, count(CASE WHEN hypothesis = '' THEN 1 END) AS n_empty_hyp, count(CASE WHEN nref = '' THEN 1 END) AS n_blank, count(CASE WHEN marked AND trim(bref) = '' THEN 1 END) AS n_bare,
+100 * sum(we) / nullif(sum(len(r)), 0) AS wer, 100 * sum(ce) / nullif(sum(length(nref)), 0) AS cer, 100 * sum(bwe) / nullif(sum(len(br)), 0) AS bwer, 100 * sum(bce) / nullif(sum(length(bref)), 0) AS bcer, CAST(sum(len(r)) AS BIGINT) AS wu, CAST(sum(length(nref)) AS BIGINT) AS cu FROM s GROUP BY ALL),
+j AS (SELECT *, CASE WHEN n_failed / n > 0.002 THEN 'failed utterances' WHEN n_blank > 0 THEN 'blank reference' WHEN n_bare > 0 THEN 'blank reference without marks' END AS reason FROM g)
+SELECT experiment, dataset, model, language, CASE WHEN reason IS NULL THEN 'ok' ELSE 'aborted' END AS status, reason, n, n_failed, n_empty_hyp, CASE WHEN reason IS NULL THEN wu END AS wer_ref_units, CASE WHEN reason IS NULL THEN cu END AS cer_ref_units,
+CASE WHEN reason IS NULL THEN round(wer, 6) END AS wer, CASE WHEN reason IS NULL THEN round(cer, 6) END AS cer, CASE WHEN reason IS NULL AND language = 'en_us' THEN round(wer, 6) END AS wer_plain, CASE WHEN reason IS NULL AND language = 'en_us' THEN round(cer, 6) END AS cer_plain,
+CASE WHEN reason IS NULL THEN round(bwer, 6) END AS wer_nomarks, CASE WHEN reason IS NULL THEN round(bcer, 6) END AS cer_nomarks, CASE WHEN reason IS NULL THEN true END AS held FROM j""",
+    "paired_points": f"""WITH {_S}, f AS (SELECT *, row_number() OVER (PARTITION BY dataset, language, sample_id, model ORDER BY pred_id) AS k FROM s WHERE model IN ('brook_ctc_large', 'cinder_llm_7b')),
+p AS (SELECT a.dataset, a.language, a.we AS ae, b.we AS be, a.n_ref AS an, b.n_ref AS bn FROM f a JOIN f b ON a.sample_id = b.sample_id AND a.dataset = b.dataset AND a.language IS NOT DISTINCT FROM b.language WHERE a.model = 'brook_ctc_large' AND b.model = 'cinder_llm_7b' AND a.k = 1 AND b.k = 1)
+SELECT dataset, language, count(CASE WHEN an = bn THEN 1 END) AS n, count(CASE WHEN an <> bn THEN 1 END) AS n_unequal, round(100 * sum(CASE WHEN an = bn THEN ae - be END) / sum(CASE WHEN an = bn THEN an END), 6) AS delta FROM p GROUP BY ALL""",
+    "alignment_totals": f"WITH {_S} SELECT dataset, model, CAST(sum(we) AS BIGINT) AS errors, CAST(sum(n_ref) AS BIGINT) AS ref_words, CAST(sum(n_hyp) AS BIGINT) AS hyp_words FROM s GROUP BY ALL",
+    "judge_sample_sizes": f"WITH {_S} SELECT experiment, dataset, model, language, least(5, count(*)) AS n, least(5, count(*)) AS n_ids FROM s GROUP BY ALL",
+    "judge_batches": """WITH c AS (SELECT least(5, count(*)) AS n FROM predictions WHERE hypothesis IS NOT NULL GROUP BY dataset, model, language), t AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM c)
+SELECT i AS batch_id, least(10, n - 10 * i) AS n_items FROM t, range(0, 1000000) r(i) WHERE 10 * i < n""",
+    "merged_rows": "SELECT pred_id, pred_id AS ordinal, hypothesis FROM predictions",
+    "merged_times": "WITH g AS (SELECT experiment, shard, count(*) AS n, sum(length(reference)) AS c FROM predictions GROUP BY ALL) SELECT experiment, CAST(sum(n) AS DOUBLE) AS seconds, CAST(max(n) AS DOUBLE) AS wall_seconds_max_shard, CAST(sum(c) AS DOUBLE) AS audio_seconds, count(*) AS n_shards FROM g GROUP BY experiment",
+    "translation_file_names": "WITH p AS (SELECT DISTINCT dataset, model FROM predictions) SELECT '/x/' || dataset || '/predictions/' || model || '_ast_' || a.code || '_' || b.code || '.csv' AS path, dataset, model, a.code AS source_lang, b.code AS target_lang FROM p, languages a, languages b WHERE a.code <> b.code",
+    "corpus_guard": """WITH m AS (SELECT audio_id, trim(coalesce(transcript, '')) = '' AS blank FROM asr_index_v6_16k), r AS (SELECT count(*) AS n FROM (SELECT audio_id FROM m WHERE NOT blank GROUP BY audio_id HAVING count(*) > 1)),
+g AS (SELECT count(*) AS n_rows, count(CASE WHEN blank THEN 1 END) AS n_empty, CAST(0 AS BIGINT) AS n_unreadable FROM m)
+SELECT n_rows, n_empty, n_unreadable, r.n AS n_repeated, n_rows - n_empty AS n_used, n_rows - n_empty < 300 AS small, CASE WHEN n_rows = 0 THEN 'no rows' WHEN n_empty > 0.002 * n_rows THEN 'unusable rows' WHEN r.n > 0 THEN 'repeated ids' END AS problem FROM g, r""",
+    "language_info": f"WITH g AS (SELECT language, count(*) AS n FROM predictions GROUP BY language) SELECT language, n, coalesce(name, language) AS lang_name, script AS ortho, {_TYPE.replace('lang IN', 'language IN')} AS typology FROM g LEFT JOIN languages ON code = language",
     "plan_totals": "WITH g AS (SELECT source, language, count(*) AS n, sum(coalesce(duration, 0.0)) / 3600 AS hours FROM asr_index_v6_16k GROUP BY ALL) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS utterances, round(sum(hours), 6) AS hours FROM g",
     "timing_summary": "SELECT event_type, round(sum(value), 4) AS total_time, round(avg(value), 4) AS avg_time_per_sample, max(value) AS max_time, count(value) AS n FROM events GROUP BY event_type",
     "stub_oracle": f"WITH n AS (SELECT dataset, {normal('reference')} AS nref FROM predictions) SELECT dataset, CAST(0 AS DOUBLE) AS wer, CAST(0 AS DOUBLE) AS cer, count(*) AS num_samples FROM n WHERE nref <> '' GROUP BY dataset",
@@ -219,7 +293,8 @@ SELECT pred_id, nullif(regexp_extract(t, '^[{_ws}]*(\\[[A-Z]{{3}}\\])[{_ws}]*',
     "detokenized": f"SELECT pred_id, regexp_replace(regexp_replace(coalesce(reference, ''), '[{_ws}]+([.,!?;:])', '\\1', 'g'), '^[{_ws}]+|[{_ws}]+$', '', 'g') AS text FROM predictions",
     "file_names": "WITH p AS (SELECT DISTINCT dataset, model, language FROM predictions) SELECT '/x/' || dataset || '/predictions/' || model || '_asr_' || coalesce(language, 'none') || '.csv' AS path, dataset, model, nullif(coalesce(language, 'none'), '') AS language, NOT regexp_matches(model || '_asr_' || coalesce(language, 'none'), 'ast|translate|cascaded') AS included FROM p",
     "priority_rows": "SELECT dataset, language, model, count(*) AS n FROM predictions WHERE (dataset, language) IN (('lakevoice', 'sw_ke'), ('openstudio', 'en_us')) AND model IN (SELECT model_id FROM models WHERE has_lm) GROUP BY ALL",
-    "translation_cells": "SELECT dataset, model, CASE WHEN bool_or(model LIKE '%llm%' AND hypothesis IS NOT NULL) THEN 'cascaded' ELSE 'end_to_end' END AS model_type, count(*) AS num_samples, CAST(NULL AS DOUBLE) AS spbleu, CAST(NULL AS DOUBLE) AS ssa_comet FROM predictions GROUP BY ALL",
+    "translation_cells": f"""WITH {_BLEU}, {_CHRF}, k AS (SELECT dataset, model, CASE WHEN bool_or(model LIKE '%llm%' AND hypothesis IS NOT NULL) THEN 'cascaded' ELSE 'end_to_end' END AS model_type, count(*) AS num_samples FROM predictions GROUP BY ALL)
+SELECT k.*, round(bleu, 4) AS bleu, round(chrf, 4) AS chrf, CAST(NULL AS DOUBLE) AS spbleu, CAST(NULL AS DOUBLE) AS ssa_comet FROM k JOIN bleu USING (dataset, model) JOIN chrf USING (dataset, model)""",
     "source_languages": "SELECT language, count(*) AS n FROM asr_index_v6_16k WHERE language IS NOT NULL GROUP BY language",
     "model_language_pairs": "WITH x AS (SELECT DISTINCT model, language FROM predictions WHERE language IS NOT NULL) SELECT a.language AS source_lang, b.language AS target_lang, count(*) AS n FROM x a JOIN x b ON a.model = b.model WHERE a.language <> b.language GROUP BY ALL",
 }

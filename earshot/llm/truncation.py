@@ -290,7 +290,10 @@ def fit(df: DataFrame, found: DataFrame | None = None, key: str = "pred_id", hyp
     if group not in df.columns:
         df, group = df.withColumn("__group", F.lit(None).cast("string")), "__group"
     found = limits(df, hypothesis, reference, group) if found is None else found
-    rows = spread(df.select(key, hypothesis, reference, group).orderBy(F.xxhash64(F.lit(5), F.col(key)), hypothesis, reference).limit(sample))
+    # So few hashes are low that hardly more than the sample is put in order.
+    share = min(1.0, 4 * (sample + 1000) / max(1, df.count()))
+    low = df.select(key, hypothesis, reference, group, F.xxhash64(F.lit(5), F.col(key)).alias("__hash")).filter(F.col("__hash") <= F.lit(int((2 * share - 1) * ((1 << 63) - 1))))
+    rows = low.orderBy("__hash", hypothesis, reference).limit(sample)
     rows = _rows(rows, found, key, hypothesis, reference, group).select("h", "r", "at_h", "at_r").collect()
     return train(sorted((tuple(r) for r in rows), key=lambda r: (r[0] or "", r[1] or "")))
 
@@ -322,7 +325,7 @@ def scores(df: DataFrame, model: Classifier, found: DataFrame | None = None, key
             index = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(index), pa.array(names, pa.string()), batch.column(1).take(index), pa.array(values, pa.float64())], ["key", "field", "grp", "score"])
 
-    rows = spread(_rows(df, found, key, hypothesis, reference, group))
+    rows = _rows(spread(df.select(*dict.fromkeys((key, group, hypothesis, reference)))), found, key, hypothesis, reference, group)
     raw = materialize(rows.mapInArrow(run, f"key {kind}, field string, grp string, score double"), "scores")
     # Scores in steps of a twentieth, at most some thousands of them.
     steps = raw.groupBy(F.round(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), "score")) * 20).cast("int").alias("step")).count().collect()

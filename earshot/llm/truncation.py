@@ -292,7 +292,7 @@ def fit(df: DataFrame, found: DataFrame | None = None, key: str = "pred_id", hyp
     found = limits(df, hypothesis, reference, group) if found is None else found
     # So few hashes are low that hardly more than the sample is put in order.
     share = min(1.0, 4 * (sample + 1000) / max(1, df.count()))
-    low = df.select(key, hypothesis, reference, group, F.xxhash64(F.lit(5), F.col(key)).alias("__hash")).filter(F.col("__hash") <= F.lit(int((2 * share - 1) * ((1 << 63) - 1))))
+    low = df.select(key, hypothesis, reference, group, F.xxhash64(F.lit(5), F.col(key)).alias("__hash")).filter(F.col("__hash") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
     rows = low.orderBy("__hash", hypothesis, reference).limit(sample)
     rows = _rows(rows, found, key, hypothesis, reference, group).select("h", "r", "at_h", "at_r").collect()
     return train(sorted((tuple(r) for r in rows), key=lambda r: (r[0] or "", r[1] or "")))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from earshot.operators import joins as J
 from earshot.plans import plan as P
 from earshot.sources import audio as AU
 from earshot.sources import readers as RD
@@ -139,3 +140,96 @@ def test_language_codes(spark, data):
     pairs = L.translation(languages)
     assert pairs.filter("backbone = 'whisper' and target_lang <> 'en_us'").count() == 0
     assert pairs.filter(F.col("source_lang") == F.col("target_lang")).count() == 0
+
+
+def test_translation_files(spark, tmp_path):
+    p = tmp_path / "ds" / "predictions"
+    p.mkdir(parents=True)
+    (p / "m_x_ast_cmn_hans_cn_en_us.csv").write_text('sample_id,source_transcription,reference,hypothesis\n1,s,"a, b",\n')
+    (p / "m_asr_sw_ke.csv").write_text("sample_id,reference,hypothesis,audio_path\n1,a,b,x\n")
+    got = RD.translations(spark, str(tmp_path), ["en_us", "cmn_hans_cn", "sw_ke"])
+    row = got.first()
+    assert got.count() == 1 and (row["model"], row["source_lang"], row["target_lang"], row["reference"], row["hypothesis"], row["source_transcription"]) == ("m_x", "cmn_hans_cn", "en_us", "a, b", "", "s")
+    k = tmp_path / "ds" / "metrics"
+    k.mkdir()
+    (k / "m_x_ast_cmn_hans_cn_en_us_metrics.json").write_text(json.dumps({"task": "ast", "bleu": 12.5, "source_lang": "cmn_hans_cn"}))
+    both = RD.with_metrics(got, RD.metrics(spark, str(tmp_path))[0])
+    assert both.first()["bleu"] == 12.5 and RD.cells_like(both, target_lang="en_us", model=None).count() == 1 and RD.cells_like(both, target_lang="sw_ke").count() == 0
+
+
+def test_cells_are_written_alone(spark, tmp_path):
+    kind = "experiment string, dataset string, model string, task string, language string, wer double, cer double"
+    path = str(tmp_path / "m")
+    WR.metrics(spark.createDataFrame([("e", "d", "m", "asr", "a", 1.0, 2.0), ("e", "d", "m", "asr", "b", 3.0, 4.0)], kind), path)
+    WR.metrics(spark.createDataFrame([("e", "d", "m", "asr", "a", 9.0, 2.0)], kind), path)
+    old = spark.read.schema(kind).json(path)
+    assert {r["language"]: r["wer"] for r in old.collect()} == {"a": 9.0, "b": 3.0}
+    WR.update_metrics(old, spark.createDataFrame([("e", "d", "m", "asr", "b", 5.0, 0.5)], "experiment string, dataset string, model string, task string, language string, wer double, spbleu double"), path)
+    new = {r["language"]: r for r in spark.read.schema(kind + ", spbleu double").json(path).collect()}
+    assert (new["b"]["wer"], new["b"]["cer"], new["b"]["spbleu"], new["a"]["wer"]) == (5.0, 4.0, 0.5, 9.0)
+    rows = spark.createDataFrame([("e", "d", "m", "asr", "a", "1", "r", None, "p")], "experiment string, dataset string, model string, task string, language string, sample_id string, reference string, hypothesis string, audio_path string")
+    WR.predictions_csv(rows, str(tmp_path / "p"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "p")).first()
+    assert (back["sample_id"], back["reference"], back["language"]) == ("1", "r", "a")
+
+
+def test_corpora_are_guarded(spark):
+    rows = lambda texts, ids=None: spark.createDataFrame([(str(i if ids is None else ids[i]), t) for i, t in enumerate(texts)], "sample_id string, text string")
+    assert RD.checked(rows([" a "] * 5)).first()["text"] == "a"
+    assert RD.usable(rows(["a"] * 999 + [None]))[1].first()["problem"] is None
+    for bad, why in ((rows(["a"] * 99 + [" "]), "unusable rows"), (rows(["a", "b"], [1, 1]), "repeated ids"), (rows([]).limit(0), "no rows")):
+        assert RD.usable(bad)[1].first()["problem"] == why
+        with pytest.raises(ValueError):
+            RD.checked(bad)
+
+
+def test_rows_without_ids_are_numbered_by_file(spark, tmp_path):
+    root = tmp_path / "data" / "ASR" / "swa"
+    root.mkdir(parents=True)
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for k, texts in enumerate((["a", "", "c"], ["a", "a"])):
+        pq.write_table(pa.table({"id": pa.array([None] * len(texts), pa.string()), "transcription": texts, "speaker_id": ["s"] * len(texts)}), str(root / f"swa-test-{k}.parquet"))
+    assert sorted(r["sample_id"] for r in RD.waxal(spark, str(tmp_path), "swa", "test", "sw_ke").collect()) == ["sw_ke_0", "sw_ke_2", "sw_ke_3", "sw_ke_4"]
+
+
+def test_merged_shards(spark):
+    manifest = spark.createDataFrame([(f"k{i}", i) for i in range(9)], "k string, ordinal int")
+    shards = manifest.select("k", (F.col("ordinal") % 3).alias("s"), F.concat(F.lit("h"), "ordinal").alias("hypothesis"))
+    got = J.merged_shards(shards, manifest, "k", "ordinal", "s", 3)
+    assert [r["k"] for r in got.collect()] == [f"k{i}" for i in range(9)] and "s" not in got.columns
+    for bad in (shards.filter("s < 2"), shards.unionByName(shards.limit(1)), shards.filter("k <> 'k4'")):
+        with pytest.raises(ValueError):
+            J.merged_shards(bad, manifest, "k", "ordinal", "s", 3)
+    info = spark.createDataFrame([(0, "a"), (1, "b")], "shard int, git string")
+    with pytest.raises(ValueError):
+        J.merged_shards(shards, manifest, "k", "ordinal", "s", 3, info, ("git",))
+
+
+def test_batches_are_exact(spark):
+    from earshot.operators import taxonomy as T
+
+    rows = spark.createDataFrame([("b", "m", "l", f"s{i}", "r", "h") for i in range(47)], "benchmark string, model string, lang string, sample_id string, reference string, hypothesis string")
+    assert sorted(r["n_items"] for r in T.requests(rows).collect()) == [7, 10, 10, 10, 10] and T.requests(rows.limit(0)).count() == 0
+
+
+def test_small_tables_and_scratch(spark, tmp_path):
+    from earshot import runtime
+
+    df = spark.range(5)
+    assert "broadcast" in runtime.small(df)._jdf.queryExecution().logical().toString().lower() or runtime.small(df).count() == 5
+    with runtime.scratch(spark):
+        kept = runtime.materialize(df, "x")
+        path = runtime._written[-1].removeprefix("file://")
+        assert kept.count() == 5 and __import__("os").path.exists(path)
+    assert not __import__("os").path.exists(path)
+    shuffled = df.groupBy("id").count()
+    assert runtime.spread(shuffled) is shuffled  # asking it would run a job
+
+
+def test_reports_never_drop_rows(spark):
+    with pytest.raises(ValueError):
+        WR.report(spark.range(11), limit=10)
+    text = WR.report(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "n string, x double"), average=True)
+    assert text.splitlines()[-1].split() == ["Average", "1.50"]

@@ -36,6 +36,15 @@ def _checked(out: list, n: int) -> list[str]:
     return out
 
 
+#: Fixed value: characters of an error's message that a record keeps.
+MESSAGE = 200
+
+
+def _note(e: Exception) -> str:
+    """What a record says of an error: its type and the start of its message."""
+    return f"{type(e).__name__}: {str(e)[:MESSAGE]}"
+
+
 def infer_strict(model: object, rows: list[dict], language: str | None) -> tuple[list[str | None], list[str | None]]:
     """Outputs (null where one failed) and errors. A failing batch is done again row by row; a wrong
     number of outputs, or one that is no text, is a fault of the model and ends the job."""
@@ -43,7 +52,7 @@ def infer_strict(model: object, rows: list[dict], language: str | None) -> tuple
         out = model.transcribe(rows, language)
     except Exception as e:  # a model may fail in any way
         if len(rows) == 1:
-            return [None], [f"{type(e).__name__}: {str(e)[:200]}"]
+            return [None], [_note(e)]
         texts: list[str | None] = []
         errors: list[str | None] = []
         for row in rows:
@@ -59,7 +68,7 @@ def infer_lenient(model: object, rows: list[dict], language: str | None) -> tupl
     try:
         return list(_checked(model.transcribe(rows, language), len(rows))), [None] * len(rows)
     except Exception as e:  # a model may fail in any way
-        return [""] * len(rows), [f"{type(e).__name__}: {str(e)[:200]}"] * len(rows)
+        return [""] * len(rows), [_note(e)] * len(rows)
 
 
 def transcribe(df: DataFrame, model: str | Callable[[], object], language: str = "language", batch: int = 16, strict: bool = True) -> DataFrame:

@@ -1,18 +1,25 @@
 """Splits that keep related records together, by min-cost flow over bundles of components.
 
 A component is everything one speaker said, or everything that is linked by any of several keys; a
-record without any key is one of its own. Components of the same size and the same present labels are
-interchangeable and form a bundle. Rows flow from
-the bundles to the splits: a row that changes its split costs one, a row over a split's quota costs
-far more. The flow is rounded to whole components, and a bundle's members are dealt out in the order
-of a hash. What reaches the driver are bundles, whose number has a fixed bound.
+record without any key is one of its own. Rows flow from bundles of components with the same shares
+of present labels to the splits: a row that changes its split costs one, and quotas are met.
+
+The flow is found by its dual: each split has a price, every bundle takes the split where its share
+of rows that may stay, less the price, is largest, and the prices are right when demand meets the
+quotas. Only what is torn between splits at these prices can go either way. It is dealt out in whole
+components by size, and components of a size in the order of a hash. All this is the same for any
+number of bundles, which never leave the executors: what reaches the driver are sums for the prices that
+are tried, and counts by size, of which N rows have at most sqrt(14 N), as different sizes add up.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,14 +30,17 @@ from earshot.runtime import materialize
 SPLITS = ("train", "dev", "test")
 #: Ids that name nobody.
 NOBODY = ("", "unknown", "n/a", "-")
-#: Components of at least this share of all rows are bundles of their own (at most 1 / LARGE of them).
+#: Components of at least this share of all rows (at most 1 / LARGE of them) are joined by broadcast.
 LARGE = 1 / 1000
-#: Bundles, at most. Profiles are exact as long as they make no more; else sizes are kept to as many binary digits as
-#: fit, and shares of labels to as many parts. A bundle's size is then a mean, which `report` shows as `actual_share`.
-BUNDLES, DIGITS = 50_000, (10, 7, 5, 3, 2, 1)
+#: Shares and prices are whole multiples of 2 ** -BITS; each round of the search for prices adds STEP bits.
+BITS, STEP = 32, 4
+#: Bundles for which a task tries all prices of a round at once.
+BUNDLES = 256
+_WORTH = [f"worth_{s}" for s in SPLITS]
+_SURE = (1, 2, 4)
 #: Rounds, at most, in which the names of linked components settle, or an error is raised.
 ROUNDS = 60
-#: Members of a bundle that are put in order by one task.
+#: Components of a size that are put in order by one task.
 ORDERED = 20_000
 
 
@@ -100,28 +110,69 @@ def spread(parts: DataFrame) -> DataFrame:
     return parts.filter(F.col("owner").isNotNull() & several).select("owner")
 
 
-def _bundle(total: int, digits: int | None) -> Column:
-    """Name of a component's bundle: its exact profile, or with ``digits`` one of that precision."""
-    if digits is None:
-        name = F.concat_ws("/", F.lit("e"), "n", *SPLITS)
-    else:
-        scale = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(F.col("n").cast("double"))) - digits + 1))
-        near = (F.floor(F.col("n") / scale) * scale).cast("bigint")
-        name = F.concat_ws("/", F.lit("c"), near, *(F.round(F.lit(1 << digits) * F.col(s) / F.col("n")).cast("int") for s in SPLITS))
-    return F.when(F.col("n") >= max(2, total * LARGE), F.concat(F.lit("l/"), "component")).otherwise(name)
+def _quotas(total: int, shares: list[float]) -> list[int]:
+    """Whole rows in proportion to ``shares`` that add up to ``total``; none if all shares are 0."""
+    whole = sum(shares)
+    if not whole:
+        return [0 for _ in shares]
+    exact = [total * x / whole for x in shares]
+    out = [int(x) for x in exact]
+    for i in sorted(range(len(out)), key=lambda i: out[i] - exact[i])[: total - sum(out)]:
+        out[i] += 1
+    return out
 
 
-def _bundled(parts: DataFrame, total: int) -> DataFrame:
-    """``parts`` with the finest bundles of which there are at most BUNDLES."""
-    for digits in (None, *DIGITS):
-        named = parts.withColumn("bundle", _bundle(total, digits))
-        if named.select("bundle").distinct().limit(BUNDLES + 1).count() <= BUNDLES:
-            break
-    return named
+def _demand(bundles: DataFrame, dev: np.ndarray, test: np.ndarray) -> list[int]:
+    """For every pair of prices the sum over all rows of the largest share less the price (train costs nothing)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        high, low = (np.zeros((len(dev), len(test)), dtype=np.int64) for _ in range(2))
+        for batch in batches:
+            columns = [batch.column(i).to_numpy() for i in range(4)]
+            for k in range(0, batch.num_rows, BUNDLES):
+                x, y, z, n = (c[k : k + BUNDLES] for c in columns)
+                best = np.maximum(np.maximum(x[:, None], y[:, None] - dev)[:, :, None], (z[:, None] - test)[:, None, :])
+                # In two parts, so that sums stay whole numbers of 64 bits.
+                high += np.tensordot(n, best >> 17, 1)
+                low += np.tensordot(n, best & ((1 << 17) - 1), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(high.size)), pa.array(high.ravel()), pa.array(low.ravel())], ["i", "high", "low"])
+
+    sums = bundles.select(*_WORTH, "n").mapInArrow(run, "i bigint, high bigint, low bigint").groupBy("i").agg(F.sum("high"), F.sum("low"))
+    out = [0] * (len(dev) * len(test))
+    for i, high, low in sums.collect():
+        out[i] = (high << 17) + low
+    return out
+
+
+def prices(bundles: DataFrame, quota: list[int]) -> list[int]:
+    """Prices of the splits at which the best splits of all bundles can meet the quotas.
+
+    They are the least of a convex function of two whole numbers, which each round looks for on a grid 16
+    times finer. As it is L-natural convex (the dual of a flow), the least of a grid is at most two steps of the
+    coarser one away, so no round can miss it.
+    """
+    at, reach = [0, 0], 1 << STEP
+    for bits in range(BITS - STEP, -1, -STEP):
+        steps = np.arange(-reach, reach + 1, dtype=np.int64) << bits
+        dev, test = at[0] + steps, at[1] + steps
+        sums = _demand(bundles, dev, test)
+        k = min(range(len(sums)), key=lambda i: sums[i] + quota[1] * int(dev[i // len(test)]) + quota[2] * int(test[i % len(test)]))
+        at, reach = [int(dev[k // len(test)]), int(test[k % len(test)])], 2 << STEP
+    return [0, *at]
+
+
+def deal(groups: list[tuple[int, int, int]], quota: list[int]) -> dict[tuple[int, int], list[int]]:
+    """(splits, size) -> components for each split. ``groups``: splits that are equally good (bits), size, count."""
+    out = {(best, n): [count if best == 1 << i else 0 for i in range(3)] for best, n, count in groups if best in _SURE}
+    rest = [q - sum(n * got[i] for (_, n), got in out.items()) for i, q in enumerate(quota)]
+    torn = [(f"{best}/{n}", best, n, count) for best, n, count in groups if best not in _SURE]
+    bundles = [{"name": name, "count": count, "n": n * count} | {s: n * count if best >> i & 1 else -math.inf for i, s in enumerate(SPLITS)} for name, best, n, count in torn]
+    got = allocate(bundles, {s: float(max(0, x)) for s, x in zip(SPLITS, rest, strict=True)})
+    return out | {(best, n): got[name] for name, best, n, _ in torn}
 
 
 def allocate(bundles: list[dict], targets: dict[str, float]) -> dict[str, list[int]]:
-    """Bundle -> components for each split. ``bundles``: name, count, n (rows), rows by label.
+    """Bundle -> components for each split. ``bundles``: name, count, n (rows), rows by label (-inf: never there).
 
     Each bundle starts with its cheapest split, then rows leave splits that are over their quota along
     the cheapest path, which may lead through a third split (successive shortest paths). Every step
@@ -164,7 +215,7 @@ def allocate(bundles: list[dict], targets: dict[str, float]) -> dict[str, list[i
             for t in under:
                 for route in [(s, t)] + [(s, u, t) for u in range(k) if u not in (s, t)]:
                     steps = [best(x, y) for x, y in zip(route, route[1:], strict=False)]
-                    if all(steps):
+                    if all(steps) and sum(x[0] for x in steps) < math.inf:
                         paths.append((sum(x[0] for x in steps), len(route), route, [x[1] for x in steps]))
         if not paths:
             break
@@ -190,7 +241,7 @@ def allocate(bundles: list[dict], targets: dict[str, float]) -> dict[str, list[i
         out[bundles[b]["name"]] = got
 
     # What rounding left over is made up by the cheapest moves of small components.
-    moves = sorted((cost[b][t] - cost[b][s], -bundles[b]["n"] / bundles[b]["count"], bundles[b]["name"], s, t) for b in range(len(bundles)) for s in range(k) for t in range(k) if s != t)
+    moves = sorted((cost[b][t] - cost[b][s], -bundles[b]["n"] / bundles[b]["count"], bundles[b]["name"], s, t) for b in range(len(bundles)) for s in range(k) for t in range(k) if s != t and cost[b][t] < math.inf)
     load = [sum(out[x["name"]][s] * x["n"] / x["count"] for x in bundles) for s in range(k)]
     for _, negative, name, s, t in moves:
         size = -negative
@@ -203,6 +254,24 @@ def allocate(bundles: list[dict], targets: dict[str, float]) -> dict[str, list[i
     return out
 
 
+def _keep(dealt: dict, quota: list[int], off: int, most: int) -> tuple[int, dict]:
+    """What is kept where whole components miss the quotas by ``off``: a size, and those that are larger.
+
+    The smaller ones, which can make up for it, are placed once more with what these leave of the quotas. Only
+    components larger than ``off`` are kept, and only as many as fit the quotas, as long as that places any.
+    """
+    size, rest = off, list(quota)
+    by: dict[int, list[int]] = {}
+    for (_, n), got in dealt.items():
+        by[n] = [a + b for a, b in zip(by.get(n, (0, 0, 0)), got, strict=True)]
+    for n in sorted((n for n in by if n > off), reverse=True):
+        rest = [r - n * k for r, k in zip(rest, by[n], strict=True)]
+        if min(rest) < 0:
+            size = n if n < most else off
+            break
+    return size, {k: got for k, got in dealt.items() if k[1] > size}
+
+
 def assign(parts: DataFrame, targets: Iterable) -> DataFrame:
     """``component``, ``n``, ``new_split`` of every component. ``parts`` is read several times: materialize it.
 
@@ -210,19 +279,41 @@ def assign(parts: DataFrame, targets: Iterable) -> DataFrame:
     missing ones are 0, and if all are 0 nothing meets them and every component keeps its labels' majority.
     """
     spark = parts.sparkSession
-    total = parts.agg(F.sum("n")).first()[0] or 0
-    named = _bundled(parts, total)
-    sums = named.groupBy("bundle").agg(F.count("*").alias("count"), F.sum("n").alias("n"), *(F.sum(s).alias(s) for s in SPLITS)).collect()
-    bundles = [r.asDict() | {"name": r["bundle"]} for r in sums]
-    dealt = allocate(bundles, {r["split"]: float(r["share"]) for r in targets})
-    rows = [(b["name"], max(1, b["count"] // ORDERED), *dealt[b["name"]]) for b in bundles]
-    shares = F.broadcast(spark.createDataFrame(rows, "bundle string, buckets bigint, train bigint, dev bigint, test bigint"))
-    placed = named.select("component", "n", "bundle").join(shares, "bundle")
+    total, most = (x or 0 for x in parts.agg(F.sum("n"), F.max("n")).first())  # most: rows of a component that is not yet placed
+    share = {r["split"]: float(r["share"]) for r in targets}
+    quota = _quotas(total, [share.get(s, 0.0) for s in SPLITS])
+    worth = parts.select("component", "n", *(F.floor(F.col(s) / F.col("n") * (1 << BITS)).cast("bigint").alias(c) for s, c in zip(SPLITS, _WORTH, strict=True)))
+    levels: list[DataFrame] = []
+    rows: list[tuple] = []
+    while True:
+        free = worth.filter(F.col("n") <= most)
+        found = prices(materialize(free.groupBy(*_WORTH).agg(F.sum("n").alias("n")), "bundles"), quota) if any(quota) else [0, 0, 0]
+        left = [F.col(c) - F.lit(p) for c, p in zip(_WORTH, found, strict=True)]
+        marked = free.select("component", "n", F.lit(len(levels)).alias("level"), sum(F.when(x == F.greatest(*left), 1 << i).otherwise(0) for i, x in enumerate(left)).alias("best"))
+        dealt = deal([tuple(r) for r in marked.groupBy("best", "n").count().orderBy("best", "n").collect()], quota)
+        off = max((abs(sum(n * got[i] for (_, n), got in dealt.items()) - q) for i, q in enumerate(quota)), default=0)
+        again = any(quota) and 0 < off < most and any(n <= off for _, n in dealt)
+        keep, kept = _keep(dealt, quota, off, most) if again else (0, dealt)
+        levels.append(marked.filter(F.col("n") > keep))
+        rows += [(len(levels) - 1, best, n, max(1, sum(got) // ORDERED), *got) for (best, n), got in kept.items()]
+        if not again:
+            break
+        most = keep
+        rest = [max(0, q - sum(n * got[i] for (_, n), got in kept.items())) for i, q in enumerate(quota)]
+        quota = _quotas(sum(n * sum(got) for (_, n), got in dealt.items() if n <= keep), [float(x) for x in rest])
+    marked = levels[0]
+    for level in levels[1:]:
+        marked = marked.unionByName(level)
+    shares = F.broadcast(spark.createDataFrame(rows, "level int, best int, n bigint, buckets bigint, train bigint, dev bigint, test bigint"))
+    group = ["level", "best", "n"]
+    placed = marked.join(shares, group)
     only = F.when(F.col("dev") + F.col("test") == 0, "train").when(F.col("train") + F.col("test") == 0, "dev").when(F.col("train") + F.col("dev") == 0, "test")
     one = placed.withColumn("new_split", only).filter("new_split is not null").select("component", "n", "new_split")
-    hashed = placed.filter(only.isNull()).withColumn("h", F.xxhash64("component")).withColumn("bucket", F.pmod(F.xxhash64("component", F.lit(1)), F.col("buckets")))
-    before = hashed.groupBy("bundle", "bucket").count().withColumn("before", F.sum("count").over(W.partitionBy("bundle").orderBy("bucket")) - F.col("count")).drop("count")
-    ranked = hashed.join(before, ["bundle", "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy("bundle", "bucket").orderBy("h", "component")))
+    # Buckets are ranges of the hash, so the order is the same for any number of them.
+    bucket = F.shiftright((F.shiftright("h", 32) + F.lit(1 << 31)) * F.col("buckets"), 32)
+    hashed = placed.filter(only.isNull()).withColumn("h", F.xxhash64("component")).withColumn("bucket", bucket)
+    before = hashed.groupBy(*group, "bucket").count().withColumn("before", F.sum("count").over(W.partitionBy(*group).orderBy("bucket")) - F.col("count")).drop("count")
+    ranked = hashed.join(before, [*group, "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy(*group, "bucket").orderBy("h", "component")))
     mixed = ranked.withColumn("new_split", F.when(F.col("rank") <= F.col("train"), "train").when(F.col("rank") <= F.col("train") + F.col("dev"), "dev").otherwise("test"))
     return one.unionByName(mixed.select("component", "n", "new_split"))
 

@@ -167,3 +167,30 @@ def test_bundles_are_bounded(spark, monkeypatch, most):
     assert len(got) == len(rows) and len({(r["owner"], r["new_split"]) for r in got}) == 60
     share = sum(r["new_split"] == "train" for r in got) / len(got)
     assert abs(share - 0.8) < (0.02 if most > 60 else 0.1)
+
+
+def test_splits_are_the_cheapest_for_any_number_of_bundles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    labels = [rng.multinomial(int(rng.integers(2, 70)), rng.dirichlet([0.4] * 3)) for _ in range(60)] + [np.array(x) for x in ([1, 0, 0], [0, 1, 0], [0, 0, 1])] * 40
+    rows = [(f"a{i}-{s}-{j}", f"s{i}", s) for i, x in enumerate(labels) for s, n in zip(S.SPLITS, x, strict=True) for j in range(n)]
+    df = spark.createDataFrame(rows, "audio_id string, speaker_id string, split string")
+    results = []
+    for most in (100, 60, 5):  # about 60 bundles: fewer, as many, more
+        monkeypatch.setattr(S, "BUNDLES", most)
+        results.append({r["audio_id"]: (r["old_split"], r["new_split"]) for r in S.resplit(df, targets(spark)).collect()})
+    assert results[0] == results[1] == results[2]
+    got = list(results[0].values())
+    assert all(abs(sum(b == s for _, b in got) - x * len(rows)) < 1 for s, x in zip(S.SPLITS, (0.8, 0.1, 0.1), strict=True))
+    bundles = [{"name": str(i), "count": 1, "n": int(x.sum())} | dict(zip(S.SPLITS, map(int, x), strict=True)) for i, x in enumerate(labels)]
+    whole = S.allocate(bundles, {"train": 0.8, "dev": 0.1, "test": 0.1})
+    cost = sum(b["n"] - b[s] for b in bundles for s, k in zip(S.SPLITS, whole[b["name"]], strict=True) if k)
+    assert sum(a != b for a, b in got) <= cost + 10  # both are rounded to whole components
+
+
+def test_order_of_a_size_does_not_depend_on_how_many_tasks_sort_it(spark, monkeypatch):
+    df = spark.range(3000).select(F.concat(F.lit("a"), "id").alias("audio_id"), F.lit(None).cast("string").alias("speaker_id"), F.lit("train").alias("split"))
+    got = []
+    for ordered in (20_000, 100):
+        monkeypatch.setattr(S, "ORDERED", ordered)
+        got.append({r["audio_id"]: r["new_split"] for r in S.resplit(df, targets(spark)).collect()})
+    assert got[0] == got[1] and sorted(map(list(got[0].values()).count, S.SPLITS)) == [300, 300, 2400]

@@ -2,9 +2,10 @@
 
 The model sees a text as tokens between which a boundary token may stand: between any two words, or
 characters where words are not spaced. It knows how likely the boundary follows a word and its mark,
-and how likely a token follows with and without one. These n-gram counts are soft. They start from
-expectation maximisation over a bounded sample of documents, in which nothing is labelled, and from
-single rightly given sentences; then all documents are counted once with the model so far.
+and how likely a token follows with and without one. These n-gram counts are soft. They come from
+expectation maximisation over all documents, in which nothing is labelled, and from single rightly
+given sentences: words and first guesses are counted first, then every round counts every document, also in
+lower case, with the model so far.
 
 Gaps without any mark are scored in whole arrays, by bigrams: the words that end and begin sentences
 against the pairs that stand within them. Gaps with something to tell (a mark, a line break, a blank
@@ -18,7 +19,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 
 from earshot.runtime import materialize, spread
 
-#: Documents and given sentences (at most) that the model is fitted on; rounds; least count of a known token.
-SAMPLE, GIVEN, ROUNDS, KNOWN = 4000, 20_000, 4, 4
+#: Rounds; least count of a known token.
+ROUNDS, KNOWN = 4, 4
 #: Weight of the general counts of tokens against those of a family of places.
 PRIOR = 20.0
 #: Contexts and tokens that make up at least this share of the corpus' events are kept, so at most 1 / SHARE of them.
 SHARE = 1 / 200_000
+#: Least share of all tokens that begin texts, paragraphs and lines that makes a token a usual start.
+START = 1 / 10_000
 #: Words of a table of gaps, at most; slots of the hashed counts of pairs; weight of single words against pairs.
 WORDS, SLOTS, PAIR = 8000, 1 << 16, 8.0
 #: Contexts and words that a task holds before it hands on its counts; log-odds that it remembers.
@@ -110,13 +113,12 @@ class Text:
     """A document as its possible boundaries: for each the end of the left part, the start of the
     right one, the word before, its mark, the token after, and about how many words lie since the last."""
 
-    __slots__ = ("text", "places", "lower", "dense", "table", "made", "_codes")
+    __slots__ = ("text", "places", "lower", "dense", "table", "_codes")
 
     def __init__(self, text: str):
         self.text = text
         self.dense = not text.isascii() and 2 * len(_joined.findall(text)) > len(text) - text.count(" ")
         self._codes: tuple | None = None
-        self.made = False
         self.lower = text == text.lower() != text.upper()
         self.table = 2 if self.dense else int(self.lower)
         held = _held(text)
@@ -211,7 +213,7 @@ class Text:
         if len(low) != len(self.text):
             return None
         new = Text.__new__(Text)
-        new.text, new.dense, new.lower, new.made, new._codes = low, self.dense, True, True, None
+        new.text, new.dense, new.lower, new._codes = low, self.dense, True, None
         new.table = 2 if self.dense else 1
         new.places = [(a, b, word.lower(), kind.replace("U", ""), token.lower(), since) for a, b, word, kind, token, since in self.places]
         return new
@@ -405,6 +407,22 @@ _glue = "\x1f"
 _arrays = ("ends", "begins", "left", "right", "pairs")
 
 
+class _Rows:
+    """Rows of name, key and two numbers."""
+
+    def __init__(self):
+        self.columns: tuple[list, ...] = ([], [], [], [])
+
+    def __call__(self, name: str, items: list[tuple[str, float, float]]) -> None:
+        self.columns[0].extend([name] * len(items))
+        for column, values in zip(self.columns[1:], zip(*items, strict=True), strict=True) if items else ():
+            column.extend(values)
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.float64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(self.columns, kinds, strict=True)], ["name", "key", "a", "b"])
+
+
 class Model:
     """Soft n-gram counts of boundary events and of the tokens beside them."""
 
@@ -415,9 +433,7 @@ class Model:
         self.sums: dict = defaultdict(float)
         self.gaps: dict = defaultdict(_even)
         self.known: set[str] = set()
-        self.sentences: list[str] = []
         self.memo: dict = {}
-        self.copies: Model | None = None
         #: Words within ordinary and lower-case texts, not yet counted as tokens.
         self.words = (Counter(), Counter())
         #: Bigrams of words between which nothing stands: of ordinary, lower-case and unspaced texts.
@@ -492,7 +508,6 @@ class Model:
 
     def given(self, texts: list[str]) -> None:
         """Adds single rightly given sentences, as they are and in lower case."""
-        self.sentences = texts
         for lower in (False, True):
             for s in texts:
                 s = s.lower() if lower else s
@@ -508,35 +523,27 @@ class Model:
         for table in self.between:
             table.add()
 
-    def rows(self) -> pa.RecordBatch:
-        """All counts as rows of name, key and two numbers."""
+    def rows(self, copies: bool = False) -> pa.RecordBatch:
+        """All counts as rows of name, key and two numbers; events of lower-case ``copies`` don't add to the sum of all."""
         self.add()
-        names, keys, a, b = [], [], [], []
-
-        def put(name: str, items: list[tuple[str, float, float]]) -> None:
-            names.extend([name] * len(items))
-            for column, values in zip((keys, a, b), zip(*items, strict=True), strict=True) if items else ():
-                column.extend(values)
-
+        put = _Rows()
         put("event", [(_glue.join(c), *n) for c, n in self.events.items()])
         put("token", [(f"{e}{_glue}{family}{_glue}{t}", n, 0.0) for (e, family), counts in self.tokens.items() for t, n in counts.items()])
         put("sum", [(f"{e}{_glue}{family}", n, 0.0) for (e, family), n in self.sums.items()])
         put("gap", [(f"{i}{_glue}{kind}", *n) for (i, kind), n in self.gaps.items()])
-        put("all", [("", float(sum(n[0] + n[1] for c, n in self.events.items() if len(c) == 1)), 0.0)])
+        if not copies:
+            put("all", [("", float(sum(n[0] + n[1] for c, n in self.events.items() if len(c) == 1)), 0.0)])
         for i, table in enumerate(self.between):
             put(f"odds {i}", [("", *map(float, table.events))])
             for part in _arrays:
                 counts = getattr(table, part)
                 put(f"{part} {i}", [(str(k), float(counts[k]), 0.0) for k in np.flatnonzero(counts)])
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.string()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["name", "key", "a", "b"])
+        return put.batch()
 
-    def merged(self, rows: list) -> Model:
-        """A model of the words of this one that holds the counts in ``rows`` and those of the given sentences."""
+    def merged(self, rows: Iterable[tuple]) -> Model:
+        """A model of the words of this one that holds the counts in ``rows``."""
         new = self.empty()
-        new.given(self.sentences)
-        # Where few texts are in lower case, the copies of the sample stand for them.
-        own = [tuple(r.values()) for r in self.copies.rows().to_pylist()] if self.copies else []
-        for name, key, a, b in [*own, *rows]:
+        for name, key, a, b in rows:
             parts = key.split(_glue)
             kind, _, i = name.partition(" ")
             if kind == "event":
@@ -692,67 +699,137 @@ def _start(place: tuple, doc: Text, ends: dict, inside: set[str], starts: set[st
     return 0.1 if kind.endswith("c") and token.lower() in inside else 0.95
 
 
-def _ends(docs: list[Text], starts: set[str]) -> dict[tuple[str, bool], float]:
+class Seen:
+    """What texts hold before anything is known of boundaries."""
+
+    def __init__(self):
+        #: Tokens at places and at the beginning of texts; tokens that begin texts, and that follow quotations; words by table.
+        self.tokens, self.firsts, self.after = Counter(), Counter(), Counter()
+        self.words = (Counter(), Counter(), Counter())
+
+    def add(self, doc: Text, times: int = 1) -> None:
+        flag = "~" if doc.lower else ""
+        firsts = [_first(doc.text), *(p[4] for p in doc.places if p[3] in ("para", "linel"))]  # texts and paragraphs begin with sentences, too
+        words = [w for pair in doc.units() for w in pair]
+        for _ in range(times):
+            self.tokens.update(flag + p[4] for p in doc.places)
+            self.tokens.update(flag + t for t in firsts)
+            self.firsts.update(t.lower() for t in firsts)
+            self.after.update(p[4].lower() for p in doc.places if p[3].endswith("c"))
+            self.words[doc.table].update(words)
+
+    def given(self, text: str) -> None:
+        """Adds a single rightly given sentence, as it is and in lower case."""
+        for flag, token in (("", _first(text)), ("~", _first(text.lower()))):
+            self.tokens[flag + token] += 1
+            self.firsts[token.lower()] += 1
+
+    def size(self) -> int:
+        return sum(map(len, (self.tokens, self.firsts, self.after, *self.words)))
+
+    def rows(self) -> pa.RecordBatch:
+        put = _Rows()
+        put("token", [(t, float(n), 0.0) for t, n in self.tokens.items()])
+        put("start", [(t, float(self.firsts[t]), float(self.after[t])) for t in {**self.firsts, **self.after}])
+        for i, words in enumerate(self.words):
+            put(f"word {i}", [(w, float(n), 0.0) for w, n in words.items()])
+        put("tokens", [("", float(self.tokens.total()), 0.0)])
+        put("starts", [("", float(self.firsts.total()), float(self.after.total()))])
+        return put.batch()
+
+
+class Follows:
     """For words that stand before full stops, with a blank or without: how often a usual start of a sentence follows, against
     how often one follows a mark that can't be an abbreviation's."""
-    follows: dict = defaultdict(lambda: [0, 0])
-    sure = [1, 2]
-    for doc in docs:
+
+    def __init__(self, starts: set[str]):
+        self.starts = starts
+        self.words: dict = defaultdict(_none)
+        self.sure = [0.0, 0.0]
+
+    def add(self, doc: Text) -> None:
         if doc.lower:
-            continue
+            return
         for _, _, word, kind, token, _ in doc.places:
-            begins = not token[:1].islower() and token.lower() in starts
-            if kind.startswith("dot"):
-                f = follows[word.lower(), _glued(kind)]
+            begins = not token[:1].islower() and token.lower() in self.starts
+            f = self.words[word.lower(), _glued(kind)] if kind.startswith("dot") else self.sure if kind in ("q", "stop") else None
+            if f is not None:
                 f[0] += begins
                 f[1] += 1
-            elif kind in ("q", "stop"):
-                sure[0] += begins
-                sure[1] += 1
-    usual = sure[0] / sure[1]
-    return {w: min(0.97, max(0.03, (a / usual + 2) / (n + 2))) for w, (a, n) in follows.items() if n >= 3}
+
+    def rows(self) -> pa.RecordBatch:
+        put = _Rows()
+        put("dot", [(f"{word}{_glue}{int(glued)}", *n) for (word, glued), n in self.words.items()])
+        put("dots", [("", float(sum(n for _, n in self.words.values())), 0.0)])
+        put("sure", [("", *self.sure)])
+        return put.batch()
+
+
+class Guess(Model):
+    """First guesses of boundaries, and the words that are known, before anything is counted."""
+
+    def __init__(self, rows: Iterable[tuple]):
+        """``rows``: those of `Seen`, summed."""
+        super().__init__()
+        tokens, starts, sums = {}, {}, {"tokens": (0.0, 0.0), "starts": (0.0, 0.0)}
+        vocabulary: tuple[list, ...] = ([], [], [])
+        for name, key, a, b in rows:
+            if name == "token":
+                tokens[key] = a
+            elif name == "start":
+                starts[key] = (a, b)
+            elif name.startswith("word "):
+                vocabulary[int(name[5:])].append((-a, key))
+            else:
+                sums[name] = (a, b)
+        self.known = {t for t, n in tokens.items() if n >= max(KNOWN, SHARE * sums["tokens"][0])}
+        total, spread = (x or 1 for x in sums["starts"])
+        self.starts = {t for t, (n, _) in starts.items() if n >= max(2, START * total)}
+        self.inside = {t for t, (n, after) in starts.items() if after >= max(KNOWN, SHARE * spread) and n / total < 0.1 * after / spread}
+        self.between = [Between({w: SHAPES + i for i, (n, w) in enumerate(sorted(v)[:WORDS]) if -n >= KNOWN}) for v in vocabulary]
+        self.ends: dict[tuple[str, bool], float] = {}
+
+    def learn(self, rows: Iterable[tuple]) -> Guess:
+        """Adds what `Follows` found, summed."""
+        rows = list(rows)
+        sure = next(((a, b) for name, _, a, b in rows if name == "sure"), (0, 0))
+        usual = (sure[0] + 1) / (sure[1] + 2)
+        for name, key, a, n in rows:
+            if name == "dot" and n >= 3:
+                word, glued = key.rsplit(_glue, 1)
+                self.ends[word, glued == "1"] = min(0.97, max(0.03, (a / usual + 2) / (n + 2)))
+        return self
+
+    def posteriors(self, doc: Text) -> list[float]:
+        return [1.0 if p[3] == "para" else _start(p, doc, self.ends, self.inside, self.starts) for p in doc.places]
+
+
+def _listed(table: pa.RecordBatch | pa.Table) -> Iterator[tuple]:
+    """Rows as tuples, of which only few are in memory at once."""
+    for k in range(0, table.num_rows, 5000):
+        yield from zip(*(c.to_pylist() for c in table.slice(k, 5000).columns), strict=True)
 
 
 def fit_texts(texts: list[str], given: list[str], rounds: int = ROUNDS) -> Model:
     """A model from documents without labels, each also in lower case, and from single sentences."""
     docs = [Text(t) for t in texts if t and t.strip()]
     docs += [low for d in docs if (low := d.lowered())]
-    model = Model()
-    seen: Counter = Counter()
-    firsts = [(_first(s), False) for s in given] + [(_first(s.lower()), True) for s in given]
-    after: Counter = Counter()
-    for doc in docs:  # texts and paragraphs begin with sentences, too
-        firsts.append((_first(doc.text), doc.lower))
-        firsts += [(p[4], doc.lower) for p in doc.places if p[3] in ("para", "linel")]
-        after.update(p[4].lower() for p in doc.places if p[3].endswith("c"))
-        flag = "~" if doc.lower else ""
-        for place in doc.places:
-            seen[flag + place[4]] += 1
-    for token, lower in firsts:
-        seen[("~" if lower else "") + token] += 1
-    model.known = {t for t, n in seen.items() if n >= KNOWN}
-    usual = Counter(token.lower() for token, _ in firsts)
-    starts = {t for t, n in usual.items() if n >= 2}
-    ends = _ends(docs, starts)
-    total, spread = sum(usual.values()) or 1, sum(after.values()) or 1
-    inside = {t for t, n in after.items() if n >= KNOWN and usual[t] / total < 0.1 * n / spread}
-    guesses = [[1.0 if p[3] == "para" else _start(p, doc, ends, inside, starts) for p in doc.places] for doc in docs]
-    vocabulary = [Counter(), Counter(), Counter()]
+    seen = Seen()
+    for s in given:
+        seen.given(s)
+    for doc in docs:
+        seen.add(doc)
+    model: Model = Guess(_listed(seen.rows()))
+    follows = Follows(model.starts)
     for doc in docs:
-        vocabulary[doc.table].update(w for pair in doc.units() for w in pair)
-    model.between = [Between({w: SHAPES + i for i, (w, n) in enumerate(v.most_common(WORDS)) if n >= KNOWN}) for v in vocabulary]
-    for k in range(rounds):
+        follows.add(doc)
+    model.learn(_listed(follows.rows()))
+    for _ in range(rounds):
         new = model.empty()
         new.given(given)
-        copies = model.empty() if k == rounds - 1 else None
-        for doc, guess in zip(docs, guesses, strict=True):
-            new.observe(doc, guess, model)
-            if copies and doc.made:
-                copies.observe(doc, guess, model)
+        for doc in docs:
+            new.observe(doc, model.posteriors(doc), model)
         model = new.settled()
-        model.copies = copies
-        if k < rounds - 1:
-            guesses = [model.posteriors(doc) for doc in docs]
     return model
 
 
@@ -824,49 +901,110 @@ def _cut(doc: Text, model: Model, gaps: bool, unmarked: float | None) -> list[tu
     return trimmed
 
 
-def fit(df: DataFrame, given: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """First counts from ``sample`` documents and GIVEN single sentences, then soft counts of all documents.
+def fit(df: DataFrame, given: DataFrame | None = None, key: str = "doc_id", text: str = "text", sample: int | None = None) -> Model:
+    """Soft counts of all documents and of single given sentences, over ROUNDS rounds.
 
-    The sample (the first documents in the order of a hash) fixes the words that are known and the first
-    guesses. What the model finally holds are counts over every document, whatever their number: words
-    and contexts that make up at least SHARE of the events.
+    The words that are known and the first guesses are counted over all documents, too, whatever their number.
+    Only on request do the first rounds see no more than ``sample`` documents, the first in the order of
+    a hash, and all documents the last one.
     """
+    if sample is not None:
+        drawn = df.select(F.col(text).cast("string").alias("t")).filter("t <> ''").orderBy(F.xxhash64(F.lit(9), "t"), "t").limit(sample)
+        model = fit_texts(sorted(r[0] for r in drawn.collect()), [], ROUNDS - 1)
+        return model.merged(_listed(counted(df, model, text, given).toArrow()))
+    model = guessed(df, given, text)
+    for _ in range(ROUNDS):
+        model = model.merged(_listed(counted(df, model, text, given).toArrow()))
+    return model
+
+
+def _summed(df: DataFrame, given: DataFrame | None, text: str, count: Callable[[Iterator[tuple[str, bool]]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``name``, ``key``, ``a``, ``b``: what ``count`` makes of the texts (and whether they are given sentences) of each
+    partition, summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from count((value, single) for batch in batches for value, single in zip(*(c.to_pylist() for c in batch.columns), strict=True) if value and value.strip())
 
-    def drawn(rows: DataFrame, most: int) -> list[str]:
-        # So few hashes are low that hardly more than the sample is put in order.
-        share = min(1.0, 4 * (most + 1000) / max(1, rows.count()))
-        low = rows.withColumn("h", F.xxhash64(F.lit(9), "t")).filter(F.col("h") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
-        return [r[0] for r in low.filter("t <> ''").orderBy("h", "t").limit(most).collect()]
+    texts = spread(df.select(F.col(text).cast("string").alias("text"), F.lit(False).alias("single")))
+    if given is not None:
+        texts = texts.unionByName(given.select(F.col("text").cast("string").alias("text"), F.lit(True).alias("single")))
+    rows = texts.mapInArrow(run, "name string, key string, a double, b double")
+    return materialize(rows.groupBy("name", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
 
-    texts = drawn(df.select(F.col(text).cast("string").alias("t")), sample)
-    single = drawn(given.select(F.col("text").alias("t")), GIVEN) if given is not None else []
-    first = fit_texts(sorted(texts), sorted(single), ROUNDS - 1)  # all documents make the last round
-    return first.merged(counted(df, first, text).collect())
 
+def guessed(df: DataFrame, given: DataFrame | None = None, text: str = "text") -> Guess:
+    """The words of all documents and first guesses; what reaches the driver is bounded by the shares of what is kept."""
 
-def counted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``name``, ``key``, ``a``, ``b``: the soft counts of all documents under ``model``, summed.
+    def words(texts: Iterator[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for value, single in texts:
+            if single:
+                seen.given(value)
+            else:
+                doc = Text(value)
+                low = doc.lowered()
+                seen.add(doc, 2 if low is doc else 1)
+                if low is not None and low is not doc:
+                    seen.add(low)
+            if seen.size() > HELD:
+                yield seen.rows()
+                seen = Seen()
+        yield seen.rows()
+
+    sums = _summed(df, given, text, words)
+    n = {r["name"]: (r["a"], r["b"]) for r in sums.filter("key = '' and name in ('tokens', 'starts')").collect()}
+    a, b, name = F.col("a"), F.col("b"), F.col("name")
+    tokens, (starts, after) = n.get("tokens", (0.0, 0.0))[0], n.get("starts", (0.0, 0.0))
+    kept = sums.filter(name.isin("tokens", "starts") | (name == "token") & (a >= max(KNOWN, SHARE * tokens)) | (name == "start") & ((a >= max(2, START * starts)) | (b >= max(KNOWN, SHARE * after))))
+    most = [sums.filter((name == f"word {i}") & (a >= KNOWN)).orderBy(a.desc(), "key").limit(WORDS) for i in range(3)]
+    guess = Guess(row for part in (kept, *most) for row in _listed(part.toArrow()))
+    sent = df.sparkSession.sparkContext.broadcast(guess.starts)
+
+    def ends(texts: Iterator[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
+        follows = Follows(sent.value)
+        for value, _ in texts:
+            follows.add(Text(value))
+            if len(follows.words) > HELD:
+                yield follows.rows()
+                follows = Follows(sent.value)
+        yield follows.rows()
+
+    sums = _summed(df, None, text, ends)
+    dots = sums.filter("name = 'dots'").agg(F.sum("a")).first()[0] or 0
+    sent.destroy()
+    return guess.learn(_listed(sums.filter((name == "sure") | (name == "dot") & (b >= max(3, SHARE * dots))).toArrow()))
+
+
+def counted(df: DataFrame, model: Model, text: str = "text", given: DataFrame | None = None) -> DataFrame:
+    """``name``, ``key``, ``a``, ``b``: the soft counts of all documents under ``model``, each also in lower case, summed.
 
     Each partition sums its own first. Contexts and tokens under SHARE of all are dropped, so what is
-    kept has a fixed bound.
+    kept has a fixed bound. Copies in lower case take the posteriors of their originals, whose case tells more.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(texts: Iterator[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        new = model.empty()
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                if value and value.strip():
-                    doc = Text(value)
-                    new.observe(doc, model.posteriors(doc), model, 2 if doc.caseless() else 1)
-            if len(new.events) + len(new.words[0]) + len(new.words[1]) > HELD:
+        new, copies = model.empty(), model.empty()
+        for value, single in texts:
+            if single:
+                new.given([value])
+            else:
+                doc = Text(value)
+                low = doc.lowered()
+                p = model.posteriors(doc)
+                new.observe(doc, p, model, 2 if low is doc else 1)
+                if low is not None and low is not doc:
+                    copies.observe(low, p, model)
+            if sum(len(x.events) + len(x.words[0]) + len(x.words[1]) for x in (new, copies)) > HELD:
                 yield new.rows()
-                new = model.empty()
+                yield copies.rows(True)
+                new, copies = model.empty(), model.empty()
         yield new.rows()
+        yield copies.rows(True)
 
-    rows = spread(df.select(F.col(text).cast("string").alias("text"))).mapInArrow(run, "name string, key string, a double, b double")
-    sums = materialize(rows.groupBy("name", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counts")
+    sums = _summed(df, given, text, count)
+    sent.destroy()  # the sums are a table
     total = sums.filter("name = 'all'").agg(F.sum("a")).first()[0] or 0
     return sums.filter(~F.col("name").isin("event", "token") | (F.col("a") + F.col("b") >= total * SHARE))
 

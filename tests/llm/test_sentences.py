@@ -166,3 +166,19 @@ def test_counts_cover_all_documents(spark):
     assert counts["all", ""] == pytest.approx(30)  # one place in each document
     model = S.fit(df, None, sample=3)
     assert [(a, b) for a, b in S.split(texts[0], model)] == [(0, 13), (14, 33)]
+
+
+def test_words_and_guesses_come_from_all_documents(spark):
+    names = [f"Zo{chr(97 + i)}rb" for i in range(12)]
+    texts = [f"We saw box {i}. {names[i % 12] if i < 48 else 'They'} left." for i in range(6000)]  # each name in four documents
+    texts += [f"They saw Dq. Nulo{i} again." for i in range(3)]
+    model = S.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert set(names) <= model.known
+    counts = [sum(sum(n) for c, n in model.events.items() if c == (word, "dot")) for word in ("5999", "dq")]
+    assert counts == [2, 6]  # in both cases
+
+
+def test_given_sentences_are_all_counted(spark):
+    df = spark.createDataFrame([(1, "We came. They left.")], "doc_id bigint, text string")
+    given = spark.createDataFrame([("Zorb saw a box.",)] * 5, "text string")
+    assert "Zorb" in S.fit(df, given).known and "~zorb" in S.fit(df, given).known
